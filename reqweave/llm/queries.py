@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_dedup, mixing, sharding, simhash
+from . import bpe, chat, exact_dedup, langid, line_dedup, media, mixing, sharding, simhash, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,13 +60,60 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(tricky)))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.measure(media.load(media.store(documents(spark, sf_dir)))).withColumnRenamed("id", "doc_id")
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+    n = F.aggregate("removed", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
+    return removed.select(
+        "doc_id",
+        "n_bytes",
+        n.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def tokenizer() -> str:
+    """The place of the tokenizer's file, which comes with the machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    coded = bpe.decode(bpe.encode(docs, tokenizer()), tokenizer())
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(documents(spark, sf_dir))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    judged = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    return judged.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash": op2_simhash,
     "op3_kd_shards": op3_kd_shards,
+    "op4_media": op4_media,
     "op5_mix": op5_mix,
     "op6_line_dedup": op6_line_dedup,
     "op7_chat": op7_chat,
+    "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_bpe": op9_bpe,
+    "op10_langid": op10_langid,
 }
 
 SQL = {
