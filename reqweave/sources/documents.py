@@ -10,8 +10,7 @@ from ..functions.text import is_blank, path_stem, strip, universal_newlines
 
 def markdown_files(spark: SparkSession, directory: str) -> DataFrame:
     """(doc_id: path, stem, text) of each .md file of a directory, not of those below it; blank files too."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md")
-    return reader.text(directory).select(
+    return spark.read.text(directory, wholetext=True, pathGlobFilter="*.md").select(
         F.col("_metadata.file_path").alias("doc_id"), path_stem(F.col("_metadata.file_path")).alias("stem"), F.col("value").alias("text")
     )
 
