@@ -6,7 +6,9 @@ Fingerprints within r bits of each other are linked. The index has two parts:
   masks; two fingerprints of the node that differ in r bits at most agree on one of
   them, so each is the pattern of a child that both are under, and every other
   child of the mask has differed already and is pruned. Nodes of more than ``CAP``
-  fingerprints are divided again, so no task gets an unbounded node.
+  fingerprints are divided again. A node that hardly shrinks holds one dense cloud: what is within r of one
+  of its fingerprints is connected already, so only the others are compared, with each other and
+  with the cloud, in pairs of blocks. No task gets an unbounded node.
 * Below, a node's fingerprints are sorted by Gray rank, which lets neighbours share
   long patterns. Leaves of 64 and nodes of 8 leaves keep the bits all of theirs share;
   differences of shared bits are accumulated on the way down and whole groups pruned
@@ -18,6 +20,7 @@ What leaves a node are the links of a spanning forest, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -175,7 +178,9 @@ def _search(g: np.ndarray, label: np.ndarray, radius: int) -> None:
         _union(label, left[ok], right[ok])
 
 
-def _link_batches(m: int, radius: int):
+def _link_batches(m: int, radius: int, keys: int):
+    """Links of rows (nid, key columns, fingerprint), sorted by their keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[np.ndarray]):
             nid, key, f = rows
@@ -185,8 +190,8 @@ def _link_batches(m: int, radius: int):
 
         held = None
         for batch in batches:
-            cols = [np.ascontiguousarray(batch.column(i)) for i in range(1 + 3 * m)]
-            rows = [cols[0], np.stack(cols[1 : 1 + 2 * m], axis=1), np.stack(cols[1 + 2 * m :], axis=1)]
+            cols = [np.ascontiguousarray(batch.column(i)) for i in range(1 + keys + m)]
+            rows = [cols[0], np.stack(cols[1 : 1 + keys], axis=1), np.stack(cols[1 + keys :], axis=1)]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows)]
             if not len(rows[0]):
@@ -202,6 +207,26 @@ def _link_batches(m: int, radius: int):
     return run
 
 
+def _paired(dense: DataFrame, key: list[str], fs: list[str], radius: int, cap: int) -> tuple[DataFrame, DataFrame]:
+    """Of dense nodes: the links of their clouds, and rows (nid, key, block a, block b, fingerprint) to be compared."""
+    pivot = F.min_by(F.struct("nid", *fs), F.xxhash64("nid", F.lit(SEED))).alias("pv")
+    near = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"pv.{f}"))) for f in fs), F.lit(0)) <= radius
+    marked = dense.select("nid", *key, *fs).join(dense.groupBy(*key).agg(pivot), key).withColumn("near", near)
+    stars = marked.where("near and nid <> pv.nid").select(F.col("nid").alias("a"), F.col("pv.nid").alias("b"))
+    blocks = lambda c: F.ceil(F.count_if(c) / (cap / 2)).cast("int")
+    sizes = marked.groupBy(*key).agg(blocks(F.col("near")).alias("bn"), blocks(~F.col("near")).alias("bo")).where("bo > 0")
+    rows = marked.join(sizes, key)
+    mine = F.pmod(F.xxhash64("nid"), F.when(F.col("near"), F.col("bn")).otherwise(F.col("bo"))).cast("int")
+    rows = rows.withColumn("mine", mine)
+    pair = lambda x, y: F.struct(x.cast("long").alias("ua"), y.cast("long").alias("ub"))
+    others = F.transform(F.sequence(F.lit(0), F.col("bo") - 1), lambda j: pair(F.least("mine", j), F.greatest("mine", j)))
+    cloud = F.when(F.col("bn") > 0, F.transform(F.sequence(F.lit(1), F.greatest("bn", F.lit(1))), lambda j: pair(F.col("mine"), -j)))
+    cloud = F.coalesce(cloud, F.array().cast("array<struct<ua: bigint, ub: bigint>>"))
+    to_others = F.transform(F.sequence(F.lit(0), F.col("bo") - 1), lambda i: pair(i, -F.col("mine") - 1))
+    unit = F.explode(F.when(F.col("near"), to_others).otherwise(F.concat(others, cloud))).alias("u")
+    return stars, rows.select("nid", *key, *fs, unit).select("nid", *key, "u.ua", "u.ub", *fs)
+
+
 def near_links(work: Work, fps: DataFrame, bits: int, radius: int, cap: int = CAP) -> DataFrame:
     """Links (a, b) of numbers ``nid``, enough to connect all fingerprints within ``radius`` of each other.
 
@@ -209,40 +234,42 @@ def near_links(work: Work, fps: DataFrame, bits: int, radius: int, cap: int = CA
     """
     spark, m = work.spark, bits // 64
     masks, patterns, fs = [f"m{i}" for i in range(m)], [f"p{i}" for i in range(m)], [f"f{i}" for i in range(m)]
-    rows, level, found = fps.withColumns({x: F.lit(0).cast("long") for x in masks}), {(0,) * m}, []
+    key, found = [*masks, *patterns], []
+    rows, level = fps.withColumns({x: F.lit(0).cast("long") for x in masks} | {"up": F.lit(fps.count())}), {(0,) * m}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for depth in range(64 * m):
-        below = {mask: children(mask, radius) for mask in level if m * 64 - sum(x.bit_count() for x in mask) > radius}
-        if depth == 0:
-            kids = F.array(*[F.struct(*[F.lit(_signed(x)).alias(f"m{i}") for i, x in enumerate(c)]) for c in below[(0,) * m]])
-            rows = rows.drop(*masks).withColumn("kid", F.explode(kids))
-        else:
-            schema = ", ".join(f"{x} long" for x in masks) + f", kid struct<{', '.join(f'{x}: long' for x in masks)}>"
-            table = [(*map(_signed, k), tuple(map(_signed, c))) for k, v in below.items() for c in v]
-            rows = rows.join(F.broadcast(spark.createDataFrame(table, schema)), masks).drop(*masks)
-        rows = rows.select("nid", *fs, *[F.col(f"kid.{x}").alias(x) for x in masks])
+
+    def compared(pairs: DataFrame, keys: list[str]) -> DataFrame:
+        dealt = pairs.select("nid", *keys, *fs).repartition(parts, *keys).sortWithinPartitions(*keys)
+        return dealt.mapInArrow(_link_batches(m, radius, len(keys)), "a long, b long")
+
+    depth = 0
+    while level:
+        # one row for each mask that a large node has, and its children: (radius + 1) ** (depth + 1) at most
+        schema = ", ".join(f"{x} long" for x in masks) + f", kid struct<{', '.join(f'{x}: long' for x in masks)}>"
+        table = [(*map(_signed, k), tuple(map(_signed, c))) for k in sorted(level) for c in children(k, radius)]
+        rows = rows.join(F.broadcast(spark.createDataFrame(table, schema)), masks).drop(*masks)
+        rows = rows.select("nid", "up", *fs, *[F.col(f"kid.{x}").alias(x) for x in masks])
         rows = rows.withColumns({p: F.col(f).bitwiseAND(F.col(x)) for p, f, x in zip(patterns, fs, masks)})
-        sizes = rows.groupBy(*masks, *patterns).agg(F.count("*").alias("n"), F.min("nid").alias("first")).where("n > 1")
+        sizes = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("nid").alias("first")).where("n > 1")
         free = sum((F.lit(64) - F.bit_count(x) for x in masks), F.lit(0))
-        kind = F.when(free <= radius, "whole").when(F.col("n") <= cap, "small").otherwise("large")
-        nodes = work.save(rows.join(sizes, [*masks, *patterns]).withColumn("kind", kind), f"nodes{depth}", by="kind")
-        small = nodes.where("kind = 'small'").select("nid", *masks, *patterns, *fs)
-        small = small.repartition(parts, *masks, *patterns).sortWithinPartitions(*masks, *patterns)
-        links = small.mapInArrow(_link_batches(m, radius), "a long, b long")
-        # fewer free bits than the radius: all of the node's fingerprints are near each other
-        whole = nodes.where("kind = 'whole' and nid <> first").select(F.col("nid").alias("a"), F.col("first").alias("b"))
-        found.append(work.save(links.unionByName(whole), f"links{depth}"))
-        rows = nodes.where("kind = 'large'").select("nid", *fs, *masks)
+        kind = F.when(free <= radius, "whole").when(F.col("n") <= cap, "small").when(F.col("n") * 4 > F.col("up"), "dense").otherwise("large")
+        nodes = work.save(rows.join(sizes, key).withColumn("kind", kind), f"nodes{depth}", by="kind")
+        kinds = {r["kind"] for r in nodes.select("kind").distinct().collect()}
+        links = [compared(nodes.where("kind = 'small'"), key)]
+        if "whole" in kinds:  # fewer free bits than the radius: all of the node's fingerprints are near each other
+            links.append(nodes.where("kind = 'whole' and nid <> first").select(F.col("nid").alias("a"), F.col("first").alias("b")))
+        if "dense" in kinds:
+            stars, pairs = _paired(nodes.where("kind = 'dense'"), key, fs, radius, cap)
+            links += [stars, compared(pairs, [*key, "ua", "ub"])]
+        found.append(work.save(reduce(DataFrame.unionByName, links), f"links{depth}"))
+        large = nodes.where("kind = 'large'")
+        level = {tuple(x & ALL for x in r) for r in large.select(*masks).distinct().collect()} if "large" in kinds else set()
+        rows = large.select("nid", *fs, *masks, F.col("n").alias("up"))
         if depth:
             work.drop(f"nodes{depth - 1}")
-        if rows.isEmpty():
-            work.drop(f"nodes{depth}")
-            break
-        level = {c for v in below.values() for c in v}
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+        depth += 1
+    work.drop(f"nodes{depth - 1}")
+    return reduce(DataFrame.unionByName, found)
 
 
 def simhash_components(
