@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 
 WINDOW, PAD = 256, 256
 DIM, WIDTHS, FILTERS = 4, (2, 3, 4), 12
-#: The bounded sample that the network is fitted to: windows of each language, at most.
-WINDOWS_PER_LANG = 1500
-EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 11
+#: The bounded sample that the network is fitted to: windows of each language, and of a text, at most.
+WINDOWS_PER_LANG, WINDOWS_PER_TEXT = 1500, 4
+STEPS, BATCH, RATE, SEED = 900, 64, 0.01, 11
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -92,19 +92,17 @@ class ByteNet:
         return g
 
     def fit(self, windows: np.ndarray, labels: np.ndarray, rng: np.random.Generator) -> ByteNet:
-        """Adam, with a step that falls to a tenth."""
+        """Adam on batches in which all languages are as likely, with a step that falls to a tenth."""
         m = {k: np.zeros_like(v) for k, v in self.params.items()}
         v = {k: np.zeros_like(x) for k, x in self.params.items()}
-        steps, t = EPOCHS * -(-len(windows) // BATCH), 0
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(windows))
-            for at in range(0, len(order), BATCH):
-                i, t = order[at : at + BATCH], t + 1
-                for k, g in self.gradients(windows[i], labels[i]).items():
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.001 * (g * g - v[k])
-                    step = RATE * (1 - 0.9 * t / steps)
-                    self.params[k] -= (step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+        weight = 1 / np.bincount(labels, minlength=len(self.langs))[labels]
+        for t in range(1, STEPS + 1):
+            i = rng.choice(len(windows), BATCH, p=weight / weight.sum())
+            for k, g in self.gradients(windows[i], labels[i]).items():
+                m[k] += 0.1 * (g - m[k])
+                v[k] += 0.001 * (g * g - v[k])
+                step = RATE * (1 - 0.9 * t / STEPS)
+                self.params[k] -= (step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
         return self
 
 
@@ -140,10 +138,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     net = ByteNet.new(langs, rng := np.random.default_rng(SEED))
     if len(langs) < 2:
         return net
-    upto = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, int((1 << 30) * 1.3 * WINDOWS_PER_LANG / n)))])
-    at = 1 + F.pmod(F.xxhash64(id_col, F.lit(SEED + 1)), F.greatest(F.lit(1), F.octet_length(text) - WINDOW + 1)).cast("int")
+    upto = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, int((1 << 30) * 1.3 * WINDOWS_PER_LANG / WINDOWS_PER_TEXT / n)))])
+    place = lambda k: 1 + F.pmod(F.xxhash64(id_col, F.lit(SEED + 1 + k)), F.greatest(F.lit(1), F.octet_length(text) - WINDOW + 1)).cast("int")
+    parts = F.array_distinct(F.array(*[text.substr(place(k), F.lit(WINDOW)) for k in range(WINDOWS_PER_TEXT)]))
     picked = rows.where(draw < F.element_at(upto, F.col(lang_col)))
-    got = picked.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(id_col).alias("id"), text.substr(at, F.lit(WINDOW)).alias("part")).collect()
+    got = picked.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(id_col).alias("id"), F.explode(parts).alias("part")).collect()
     windows, labels, taken = [], [], dict.fromkeys(langs, 0)
     for r in sorted(got, key=lambda r: (r["draw"], r["id"], r["part"])):
         if r["part"] and taken[r["lang"]] < WINDOWS_PER_LANG:
