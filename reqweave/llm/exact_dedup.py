@@ -5,7 +5,7 @@ open by the next digit, a slice of successive bytes; a group that holds one
 row, or whose rows end inside the digit, is settled. Digits get four times
 wider each round (up to a bound), so a text of n bytes needs O(log n) rounds.
 Rows meet by the bytes themselves: no digest decides equality, and a group's
-name is the smallest row number in it.
+name is the smallest row number in it (in the first round a number of its own).
 """
 
 from __future__ import annotations
@@ -65,6 +65,8 @@ def _split(work: Work, rows: DataFrame, width: int, level: int) -> DataFrame:
         .where("n > 1")
     )
     if level == 0:
+        # the rows are numbered again whenever their plan runs, so the first groups have numbers of their own, below zero
+        groups = work.save(groups.select("gid", "digit", "n", (-1 - F.monotonically_increasing_id()).alias("new_gid")), "groups")
         rows = rows.withColumn("sha", F.sha2("rest", 256))
     joined = rows.withColumn("digit", digit).join(groups, ["gid", "digit"], "left")
     is_open = F.col("n").isNotNull() & (F.length("digit") == width)
