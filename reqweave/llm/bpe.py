@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of the tables of words and fragments; a full table is emptied.
-KEPT = 400_000
+KEPT = 150_000
 #: Rows of a batch that a task returns at once.
 ROWS = 512
 
@@ -55,19 +55,16 @@ class Bpe:
             raise ValueError("expected plain merges")
         self.end = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
+        self.library = tokenizers.Tokenizer.from_str(source.decode() if isinstance(source, bytes) else source)
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         merges = [(a, b) for a, b in pairs]
         # the library's merges, for fragments within a word and for those at its end
         self.inner = tokenizers.models.BPE(self.vocab, merges)
-        self.last = tokenizers.models.BPE(self.vocab, merges, end_of_word_suffix=self.end)
+        self.last = self.library.model
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.mapping = dict(enumerate(byte_chars()))
-        self.tokens = [""] * (1 + max([*self.vocab.values(), *self.special.values()]))
-        for token, i in [*self.vocab.items(), *self.special.items()]:
-            self.tokens[i] = token
         # byte pairs that some token holds; between any other pair is a boundary
         self.inside = {t[i : i + 2] for t in (x.removesuffix(self.end) for x in self.vocab) for i in range(len(t) - 1)}
-        self.library = tokenizers.Tokenizer.from_str(source.decode() if isinstance(source, bytes) else source)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         plain = split.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}")
         letters, numbers = _class("L"), _class("N")
@@ -111,9 +108,20 @@ class Bpe:
             found = self.inner.tokenize(fragment)
         return np.array([t.id for t in found], np.int32).tobytes()
 
-    def decode(self, ids: list[int]) -> str:
-        """The library's decode without a decoder, special tokens kept: tokens with a space between."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+
+def token_list(source: bytes) -> list[str]:
+    """The tokens by id, special ones too."""
+    spec = json.loads(source)
+    named = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    tokens = [""] * (1 + max(named.values()))
+    for token, i in named.items():
+        tokens[i] = token
+    return tokens
+
+
+def decode_ids(tokens: list[str], ids: list[int]) -> str:
+    """What the library's decode gives without a decoder, special tokens kept: tokens with a space between."""
+    return " ".join(map(tokens.__getitem__, ids))
 
 
 class _Table(dict):
@@ -130,14 +138,15 @@ class _Table(dict):
         return value
 
 
-_loaded: dict[int, Bpe] = {}
+_loaded: dict = {}
 
 
-def _bpe(source: bytes) -> Bpe:
-    key = hash(source)
+def _once(make, source: bytes):
+    """What ``make`` makes of a tokenizer, kept for a worker's next task."""
+    key = (make, hash(source))
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Bpe(source)
+        _loaded[key] = make(source)
     return _loaded[key]
 
 
@@ -151,7 +160,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(source.value)
+        bpe = _once(Bpe, source.value)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
@@ -171,13 +180,13 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> Dat
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(source.value)
+        tokens = _once(token_list, source.value)
         for whole in batches:
             for k in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(k, ROWS)
                 ids = batch.column(at)
                 flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-                texts = [bpe.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(ends, ends[1:], ids.is_valid().to_pylist())]
+                texts = [decode_ids(tokens, flat[a:b].tolist()) if ok else None for a, b, ok in zip(ends, ends[1:], ids.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
