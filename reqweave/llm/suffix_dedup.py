@@ -34,11 +34,14 @@ from .work import Work
 LENGTH, GRAM = 50, 24
 GRAMS = LENGTH - GRAM + 1  # k-grams in a string, and strings that an anchor can stand for
 CONTEXT = LENGTH + GRAMS - 1
-PACK = 4 << 20
+PACK = 2 << 20
 #: Anchors of a part, about; parts grow in number with the text.
-PART_ANCHORS = 400_000
+PART_ANCHORS = 200_000
 #: Rows of contexts that are sorted at once; an anchor's contexts stay together.
-SORTED = 60_000
+SORTED = 4_000
+#: An anchor in more packs than this is frequent: its strings travel one by one, dealt by their own hashes,
+#: so no part gathers all that surrounds a common phrase.
+FREQUENT = 2000
 BASE = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64
 NO_ID = np.iinfo(np.int64).max
@@ -53,7 +56,7 @@ class PrefixHash:
     @classmethod
     def _tables(cls, n: int) -> None:
         if len(cls._powers) < n:
-            n = max(n, 1 << 16)
+            n = max(n, 1 << 12)
             with np.errstate(over="ignore"):
                 for name, base in (("_powers", BASE), ("_inverse", pow(BASE, -1, 1 << 64))):
                     t = np.full(n, base, U64)
@@ -63,11 +66,18 @@ class PrefixHash:
     def __init__(self, data: np.ndarray):
         self._tables(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * self._powers[: len(data)], out=self.sums[1:])
+        terms = data.astype(U64)
+        terms += U64(1)
+        terms *= self._powers[: len(data)]
+        np.cumsum(terms, out=self.sums[1:])
 
     def grams(self, k: int) -> np.ndarray:
         n = len(self.sums) - k
-        return (self.sums[k:] - self.sums[:n]) * self._inverse[:n] if n > 0 else np.zeros(0, U64)
+        if n <= 0:
+            return np.zeros(0, U64)
+        out = self.sums[k:] - self.sums[:n]
+        out *= self._inverse[:n]
+        return out
 
     def of(self, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return (self.sums[at + length] - self.sums[at]) * self._inverse[at]
@@ -89,9 +99,21 @@ class PrefixHash:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Polynomial hashes have weak low bits; this spreads them."""
-    h = (h ^ (h >> U64(32))) * U64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> U64(32))) * U64(0xD6E8FEB86659FD93)
-    return h ^ (h >> U64(32))
+    h = h.copy()
+    for _ in range(2):
+        h ^= h >> U64(32)
+        h *= U64(0xD6E8FEB86659FD93)
+    h ^= h >> U64(32)
+    return h
+
+
+def row_hash(rows: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each row of bytes."""
+    PrefixHash._tables(rows.shape[1])
+    powers, out = PrefixHash._powers[: rows.shape[1]], np.empty(len(rows), U64)
+    for k in range(0, len(rows), SORTED):
+        out[k : k + SORTED] = ((rows[k : k + SORTED].astype(U64) + U64(1)) * powers).sum(axis=1)
+    return out
 
 
 class Anchors:
@@ -106,7 +128,9 @@ class Anchors:
         self.hash = np.zeros(0, U64)
         if len(data) < LENGTH:
             return
-        least = (grams >> U64(32) << U64(32)) | np.arange(len(grams), dtype=U64)  # ties: the leftmost
+        least = grams >> U64(32)
+        least <<= U64(32)
+        least |= np.arange(len(grams), dtype=U64)  # ties: the leftmost
         width = 1
         while width * 2 <= GRAMS:
             least = np.minimum(least[:-width], least[width:])
@@ -125,6 +149,16 @@ class Anchors:
         self.hash = grams[self.at]
         self.doc = np.searchsorted(ends, self.first, side="right")
 
+    def select(self, kept: np.ndarray, often: np.ndarray) -> None:
+        """Only the anchors ``kept``; those that are frequent make way for their strings, each an anchor of itself."""
+        few, many = kept[~often[kept]], kept[often[kept]]
+        n = self.last[many] - self.first[many] + 1
+        string = np.repeat(self.first[many], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        own = mix(self.prefix.of(string, LENGTH) + U64(LENGTH))
+        self.doc = np.r_[self.doc[few], np.repeat(self.doc[many], n)]
+        self.hash = np.r_[self.hash[few], own]
+        self.at, self.first, self.last = (np.r_[x[few], string] for x in (self.at, self.first, self.last))
+
     def context_hash(self) -> np.ndarray:
         """Equal for anchors with equal contexts and equal places in them."""
         length = self.last - self.first + LENGTH
@@ -247,6 +281,13 @@ def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], [n for n, _ in fields])
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Row by row, as a row may be megabytes."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 _PACK = [("pack", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("ends", pa.binary()), ("data", pa.binary())]
 
 
@@ -287,22 +328,22 @@ def _runs(sorted_: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 _KEYS = [("part", pa.int64()), ("pack", pa.int64()), ("keys", pa.binary())]
+_SHARED = [*_KEYS, ("often", pa.binary())]
 
 
 def _anchor_keys(parts: int):
     """Of each pack the hashes of its anchors by part, twice where two of its documents have one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, a = _open(r["ids"], r["ends"], r["data"])
-                order = np.lexsort((ids[a.doc], a.hash))
-                h, d = a.hash[order], ids[a.doc][order]
-                new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
-                other = np.r_[False, (h[1:] == h[:-1]) & (d[1:] != d[:-1])] if len(h) else new
-                h = np.sort(np.concatenate([h[new], np.unique(h[other])]))
-                low = (h & U64(0xFFFFFFFF)).astype(np.uint32)
-                yield _batch([(p, r["pack"], _blob(low[x:y])) for p, x, y in _runs(_part(h, parts))], _KEYS)
+        for r in _rows(batches):
+            ids, a = _open(r["ids"], r["ends"], r["data"])
+            order = np.lexsort((ids[a.doc], a.hash))
+            h, d = a.hash[order], ids[a.doc][order]
+            new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+            other = np.r_[False, (h[1:] == h[:-1]) & (d[1:] != d[:-1])] if len(h) else new
+            h = np.sort(np.concatenate([h[new], np.unique(h[other])]))
+            low = (h & U64(0xFFFFFFFF)).astype(np.uint32)
+            yield _batch([(p, r["pack"], _blob(low[x:y])) for p, x, y in _runs(_part(h, parts))], _KEYS)
 
     return run
 
@@ -310,31 +351,38 @@ def _anchor_keys(parts: int):
 def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """The rows of each part, from rows sorted by part."""
     part, held = None, []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["part"] != part:
-                if held:
-                    yield part, held
-                part, held = r["part"], []
-            held.append(r)
+    for r in _rows(batches):
+        if r["part"] != part:
+            if held:
+                yield part, held
+            part, held = r["part"], []
+        held.append(r)
     if held:
         yield part, held
 
 
-def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hashes of a part that came more than once, back to the packs they came from."""
-    for part, rows in _parts_of(batches):
-        each = [np.frombuffer(r["keys"], np.uint32) for r in rows]
-        keys = np.concatenate(each)
-        pack = np.repeat(np.arange(len(rows)), [len(k) for k in each])
-        order = np.argsort(keys, kind="stable")
-        k = keys[order]
-        twice = np.zeros(len(k) + 1, bool)
-        twice[1:-1] = k[1:] == k[:-1]
-        order = order[twice[:-1] | twice[1:]]
-        order = order[np.lexsort((keys[order], pack[order]))]
-        out = [(part, rows[p]["pack"], _blob(np.unique(keys[order[x:y]]))) for p, x, y in _runs(pack[order])]
-        yield _batch(out, _KEYS)
+def _shared_keys(frequent: int):
+    """The hashes of a part that came more than once, and whether often, back to the packs they came from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _parts_of(batches):
+            each = [np.frombuffer(r["keys"], np.uint32) for r in rows]
+            keys = np.concatenate(each)
+            pack = np.repeat(np.arange(len(rows)), [len(k) for k in each])
+            order = np.argsort(keys, kind="stable")
+            start = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]]) if len(keys) else np.zeros(0, np.int64)
+            size = np.diff(np.r_[start, len(keys)])
+            times = np.empty(len(keys), np.int64)
+            times[order] = np.repeat(size, size)
+            order = np.flatnonzero(times > 1)
+            order = order[np.lexsort((keys[order], pack[order]))]
+            out = []
+            for p, x, y in _runs(pack[order]):
+                mine, at = np.unique(keys[order[x:y]], return_index=True)
+                out.append((part, rows[p]["pack"], _blob(mine), _blob(times[order[x:y]][at] > frequent)))
+            yield _batch(out, _SHARED)
+
+    return run
 
 
 _FOUND = [("kind", pa.string()), ("part", pa.int64()), ("pack", pa.int64()), ("meta", pa.binary()), ("bytes", pa.binary())]
@@ -345,29 +393,32 @@ def _contexts(parts: int):
     """Of each pack: what its own classes settle (kind own), and one context a class for each part (kind context)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, a = _open(r["ids"], r["ends"], r["data"])
-                wanted = np.sort(np.concatenate([(U64(s["part"]) << U64(32)) | np.frombuffer(s["keys"], np.uint32) for s in r["shared"]]))
-                part = _part(a.hash, parts)
-                key = (part.astype(U64) << U64(32)) | (a.hash & U64(0xFFFFFFFF))
-                at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-                i = np.flatnonzero(wanted[at] == key)
-                doc = ids[a.doc[i]]
-                leader, leads = classes(a.hash[i] ^ mix(a.context_hash()[i]), doc, lambda x: _told(a, i[x]))
-                after = doc > doc[leader]
-                same = ~after & ~leads
-                rows = [("own", 0, r["pack"], _blob(np.stack([a.first[i[after]], a.last[i[after]]])), None),
-                        ("same", 0, r["pack"], _blob(np.stack([a.first[i[same]], a.first[i[leader[same]]]])), None)]
-                lead = np.flatnonzero(leads)
-                lead = lead[np.argsort(part[i[lead]], kind="stable")]
-                for p, x, y in _runs(part[i[lead]]):
-                    j = i[lead[x:y]]
-                    meta = np.empty(len(j), _META)
-                    meta["hash"], meta["doc"], meta["first"] = a.hash[j], ids[a.doc[j]], a.first[j]
-                    meta["rel"], meta["length"] = a.at[j] - a.first[j], a.last[j] - a.first[j] + LENGTH
-                    rows.append(("context", p, r["pack"], meta.tobytes(), _blob(a.contexts(j))))
-                yield _batch(rows, _FOUND)
+        for r in _rows(batches):
+            ids, a = _open(r["ids"], r["ends"], r["data"])
+            wanted = np.concatenate([(U64(s["part"]) << U64(32)) | np.frombuffer(s["keys"], np.uint32) for s in r["shared"]])
+            order = np.argsort(wanted)
+            wanted, often = wanted[order], np.concatenate([np.frombuffer(s["often"], bool) for s in r["shared"]])[order]
+            part = _part(a.hash, parts)
+            key = (part.astype(U64) << U64(32)) | (a.hash & U64(0xFFFFFFFF))
+            at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+            a.select(np.flatnonzero(wanted[at] == key), often[at])
+            part = _part(a.hash, parts)
+            i = np.arange(len(a.at))
+            doc = ids[a.doc[i]]
+            leader, leads = classes(a.hash[i] ^ mix(a.context_hash()[i]), doc, lambda x: _told(a, i[x]))
+            after = doc > doc[leader]
+            same = ~after & ~leads
+            rows = [("own", 0, r["pack"], _blob(np.stack([a.first[i[after]], a.last[i[after]]])), None),
+                    ("same", 0, r["pack"], _blob(np.stack([a.first[i[same]], a.first[i[leader[same]]]])), None)]
+            lead = np.flatnonzero(leads)
+            lead = lead[np.argsort(part[i[lead]], kind="stable")]
+            for p, x, y in _runs(part[i[lead]]):
+                j = i[lead[x:y]]
+                meta = np.empty(len(j), _META)
+                meta["hash"], meta["doc"], meta["first"] = a.hash[j], ids[a.doc[j]], a.first[j]
+                meta["rel"], meta["length"] = a.at[j] - a.first[j], a.last[j] - a.first[j] + LENGTH
+                rows.append(("context", p, r["pack"], meta.tobytes(), _blob(a.contexts(j))))
+            yield _batch(rows, _FOUND)
 
     return run
 
@@ -389,9 +440,7 @@ def _covered_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         contexts = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8).reshape(-1, CONTEXT)
         length, rel, doc = meta["length"].astype(np.int64), meta["rel"].astype(np.int64), meta["doc"].astype(np.int64)
         told = lambda x: np.concatenate([contexts[x], meta["rel"][x, None], meta["length"][x, None]], axis=1)
-        # the hash of a row of bytes: all at once, by the polynomial at each row's start
-        whole = PrefixHash(contexts.ravel()).of(np.arange(len(meta)) * CONTEXT, CONTEXT)
-        key = mix(whole ^ mix(meta["hash"] ^ mix((rel * 128 + length).astype(U64))))
+        key = mix(row_hash(contexts) ^ mix(meta["hash"] ^ mix((rel * 128 + length).astype(U64))))
         leader, leads = classes(key, doc, told)
         lead = np.flatnonzero(leads)
         mask = np.zeros(len(meta), np.uint32)
@@ -408,40 +457,39 @@ _RESULT = [("id", pa.int64()), ("n_bytes", pa.int64()), ("removed", _SPANS), ("k
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Marks the covered bytes of a pack's documents and takes them out."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            data, ends = np.frombuffer(r["data"], np.uint8), np.frombuffer(r["ends"], np.int64)
-            step = np.zeros(len(data) + 1, np.int32)
-            masks: dict[str, list] = {"own": [], "same": []}
-            for x in r["found"] or ():
-                masks[x["kind"]].append(np.frombuffer(x["meta"], np.int64).reshape(2, -1))
-            for first, last in masks["own"]:
-                np.add.at(step, first, 1)
-                np.add.at(step, last + LENGTH, -1)
-            first = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(m["first"], np.int64) for m in r["masks"] or ()]])
-            mask = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(m["mask"], np.uint32) for m in r["masks"] or ()]])
-            order = np.argsort(first)
-            first, mask = first[order], mask[order]
-            for mine, leads in masks["same"]:  # further occurrences in the least document share its mask
-                at = np.minimum(np.searchsorted(first, leads), max(len(first) - 1, 0))
-                ok = first[at] == leads if len(first) else np.zeros(len(leads), bool)
-                first, mask = np.concatenate([first, mine[ok]]), np.concatenate([mask, mask[at[ok]]])
-            for bit in range(GRAMS):
-                on = first[(mask >> np.uint32(bit) & np.uint32(1)) == 1] + bit
-                np.add.at(step, on, 1)
-                np.add.at(step, on + LENGTH, -1)
-            gone = np.cumsum(step[:-1]) > 0
-            out, start = [], 0
-            for i, null, end in zip(np.frombuffer(r["ids"], np.int64).tolist(), r["nulls"], ends.tolist()):
-                g = gone[start:end]
-                edge = np.flatnonzero(np.diff(np.r_[False, g, False].astype(np.int8))).reshape(-1, 2)
-                spans = [{"start": a, "end": b} for a, b in edge.tolist()]
-                out.append((None if null else i, end - start, spans, data[start:end][~g].tobytes() if len(edge) else data[start:end].tobytes()))
-                start = end
-            yield _batch(out, _RESULT)
-
-
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    for r in _rows(batches):
+        data, ends = np.frombuffer(r["data"], np.uint8), np.frombuffer(r["ends"], np.int64)
+        step = np.zeros(len(data) + 1, np.int32)
+        masks: dict[str, list] = {"own": [], "same": []}
+        for x in r["found"] or ():
+            masks[x["kind"]].append(np.frombuffer(x["meta"], np.int64).reshape(2, -1))
+        for first, last in masks["own"]:
+            np.add.at(step, first, 1)
+            np.add.at(step, last + LENGTH, -1)
+        first = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(m["first"], np.int64) for m in r["masks"] or ()]])
+        mask = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(m["mask"], np.uint32) for m in r["masks"] or ()]])
+        order = np.argsort(first)
+        first, mask = first[order], mask[order]
+        for mine, leads in masks["same"]:  # further occurrences in the least document share its mask
+            at = np.minimum(np.searchsorted(first, leads), max(len(first) - 1, 0))
+            ok = first[at] == leads if len(first) else np.zeros(len(leads), bool)
+            first, mask = np.concatenate([first, mine[ok]]), np.concatenate([mask, mask[at[ok]]])
+        for bit in range(GRAMS):
+            on = first[(mask >> np.uint32(bit) & np.uint32(1)) == 1] + bit
+            np.add.at(step, on, 1)
+            np.add.at(step, on + LENGTH, -1)
+        gone = np.cumsum(step[:-1]) > 0
+        out, start = [], 0
+        for i, null, end in zip(np.frombuffer(r["ids"], np.int64).tolist(), r["nulls"], ends.tolist()):
+            g = gone[start:end]
+            edge = np.flatnonzero(np.diff(np.r_[False, g, False].astype(np.int8))).reshape(-1, 2)
+            spans = [{"start": a, "end": b} for a, b in edge.tolist()]
+            out.append((None if null else i, end - start, spans, data[start:end][~g].tobytes() if len(edge) else data[start:end].tobytes()))
+            start = end
+        yield _batch(out, _RESULT)
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """One row per input row: id, n_bytes, removed (spans of bytes), kept (the remaining bytes).
 
     Texts are their UTF-8 bytes, null texts empty. Strings are judged on the input, so what removed text
@@ -460,11 +508,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     keys = packs.select("pack", "ids", "ends", "data").mapInArrow(_anchor_keys(parts), ddl(_KEYS))
     dealt = keys.repartition(tasks, "part").sortWithinPartitions("part")
-    shared = work.save(dealt.mapInArrow(_shared_keys, ddl(_KEYS)), "shared")
+    shared = work.save(dealt.mapInArrow(_shared_keys(frequent), ddl(_SHARED)), "shared")
     work.keep_only("packs", "shared")
 
     # lists of arrays of one pack: as many as a pack has anchors at most
-    by_pack = shared.groupBy("pack").agg(F.collect_list(F.struct("part", "keys")).alias("shared"))
+    by_pack = shared.groupBy("pack").agg(F.collect_list(F.struct("part", "keys", "often")).alias("shared"))
     found = packs.select("pack", "ids", "ends", "data").join(by_pack, "pack").mapInArrow(_contexts(parts), ddl(_FOUND))
     found = work.save(found, "found", by="kind")
     work.keep_only("packs", "found")
