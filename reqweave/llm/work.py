@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+#: Shuffle files of a query go with its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -53,10 +55,18 @@ class Work:
         return f"{self.path}/{name}"
 
     def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        """Writes ``df``, one folder for each value of ``by`` if that is given."""
+        """Writes ``df``, one folder for each value of ``by`` if that is given; the shuffle files behind it go."""
         self.names.add(name)
         writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(by) if by else writer).parquet(self.at(name))
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            (writer.partitionBy(by) if by else writer).parquet(self.at(name))
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema=None) -> DataFrame:
