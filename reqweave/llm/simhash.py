@@ -6,7 +6,9 @@ Fingerprints within r bits of each other are linked. The index has two parts:
   masks; two fingerprints of the node that differ in r bits at most agree on one of
   them, so each is the pattern of a child that both are under, and every other
   child of the mask has differed already and is pruned. Nodes of more than ``CAP``
-  fingerprints are divided again. A node that hardly shrinks holds one dense cloud: what is within r of one
+  fingerprints are divided again. Under the j-th mask only pairs are wanted that differ on each mask
+  before, so the bits of the masks after it hold r - j differences at most and r - j + 1 shares of them are
+  enough: differences accumulate on the way down. A node that hardly shrinks holds one dense cloud: what is within r of one
   of its fingerprints is connected already, so only the others are compared, with each other and
   with the cloud, in pairs of blocks. No task gets an unbounded node.
 * Below, a node's fingerprints are sorted by Gray rank, which lets neighbours share
@@ -31,6 +33,8 @@ from .components import components
 from .work import Work
 
 CAP, LEAF, FAN = 4096, 64, 8
+#: Bits of a share, at least, where a node is divided by its open bits alone.
+SHARE = 4
 SEED = 42
 ALL = (1 << 64) - 1
 
@@ -74,16 +78,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id long, " + ", ".join(f"f{i} long" for i in range(m)))
 
 
-def children(mask: tuple[int, ...], radius: int) -> list[tuple[int, ...]]:
-    """The masks of a node's children: its own bits and one of radius + 1 shares of the others."""
-    free = [(w, b) for w, m in enumerate(mask) for b in range(64) if not m >> b & 1]
-    cuts = [len(free) * i // (radius + 1) for i in range(radius + 2)]
+def children(mask: tuple[int, ...], open_: tuple[int, ...], most: int, radius: int) -> list[tuple[tuple[int, ...], tuple[int, ...], int]]:
+    """The children of a node whose pairs differ in ``most`` of the ``open_`` bits at most: (mask, open, most) of each.
+
+    A child's mask is the node's and one of most + 1 shares of the open bits. A pair goes by the first share it
+    agrees on: it differs in each share before, and these differences are accumulated, so what is left
+    for the shares after is that much less. Where those are too few bits to divide, all free bits are open again.
+    """
+    bits = [(w, b) for w, m in enumerate(open_) for b in range(64) if m >> b & 1]
+    cuts = [len(bits) * i // (most + 1) for i in range(most + 2)]
+
+    def words(chosen: list[tuple[int, int]]) -> tuple[int, ...]:
+        return tuple(sum(1 << b for w, b in chosen if w == k) for k in range(len(mask)))
+
     out = []
-    for a, b in zip(cuts, cuts[1:]):
-        new = list(mask)
-        for w, bit in free[a:b]:
-            new[w] |= 1 << bit
-        out.append(tuple(new))
+    for j, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        new = tuple(x | y for x, y in zip(mask, words(bits[a:b])))
+        if len(bits) - b >= SHARE * (most - j + 1):
+            out.append((new, words(bits[b:]), most - j))
+        else:
+            out.append((new, tuple(ALL & ~x for x in new), radius))
     return out
 
 
@@ -235,7 +249,7 @@ def near_links(work: Work, fps: DataFrame, bits: int, radius: int, cap: int = CA
     spark, m = work.spark, bits // 64
     masks, patterns, fs = [f"m{i}" for i in range(m)], [f"p{i}" for i in range(m)], [f"f{i}" for i in range(m)]
     key, found = [*masks, *patterns], []
-    rows, level = fps.withColumns({x: F.lit(0).cast("long") for x in masks} | {"up": F.lit(fps.count())}), {(0,) * m}
+    rows, level = fps.withColumns({x: F.lit(0).cast("long") for x in masks} | {"up": F.lit(fps.count())}), {(0,) * m: ((ALL,) * m, radius)}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def compared(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -244,9 +258,10 @@ def near_links(work: Work, fps: DataFrame, bits: int, radius: int, cap: int = CA
 
     depth = 0
     while level:
-        # one row for each mask that a large node has, and its children: (radius + 1) ** (depth + 1) at most
+        # one row for each mask that a large node has, and its children: (radius + 1) ** (depth + 1) at most, fewer as differences accumulate
         schema = ", ".join(f"{x} long" for x in masks) + f", kid struct<{', '.join(f'{x}: long' for x in masks)}>"
-        table = [(*map(_signed, k), tuple(map(_signed, c))) for k in sorted(level) for c in children(k, radius)]
+        kids = {k: children(k, *level[k], radius) for k in sorted(level)}
+        table = [(*map(_signed, k), tuple(map(_signed, kid))) for k in kids for kid, _, _ in kids[k]]
         rows = rows.join(F.broadcast(spark.createDataFrame(table, schema)), masks).drop(*masks)
         rows = rows.select("nid", "up", *fs, *[F.col(f"kid.{x}").alias(x) for x in masks])
         rows = rows.withColumns({p: F.col(f).bitwiseAND(F.col(x)) for p, f, x in zip(patterns, fs, masks)})
@@ -263,7 +278,11 @@ def near_links(work: Work, fps: DataFrame, bits: int, radius: int, cap: int = CA
             links += [stars, compared(pairs, [*key, "ua", "ub"])]
         found.append(work.save(reduce(DataFrame.unionByName, links), f"links{depth}"))
         large = nodes.where("kind = 'large'")
-        level = {tuple(x & ALL for x in r) for r in large.select(*masks).distinct().collect()} if "large" in kinds else set()
+        divided = {tuple(x & ALL for x in r) for r in large.select(*masks).distinct().collect()} if "large" in kinds else set()
+        level = {}
+        for kid, open_, most in (x for k in kids for x in kids[k] if x[0] in divided):
+            # a mask that two ways lead to keeps what holds for both: all free bits, the whole radius
+            level[kid] = (open_, most) if kid not in level else (tuple(ALL & ~x for x in kid), radius)
         rows = large.select("nid", *fs, *masks, F.col("n").alias("up"))
         if depth:
             work.drop(f"nodes{depth - 1}")
