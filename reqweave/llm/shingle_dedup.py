@@ -1,0 +1,220 @@
+"""Near-deduplication by the similarity of shingle sets, exact.
+
+Two texts are linked if the Jaccard similarity of their sets of word shingles reaches a limit. Candidates come from
+prefixes: with all shingles in one order, two sets that similar share one of the first n - ceil(limit * n) + 1 of
+each. Any order is right; shingles that a sample of the texts shows to be common go last, so few texts meet by
+them. A pair whose sizes, or whose places of the shared shingle, leave too little to share is no candidate.
+
+Every link is verified on the whole sets. Where large groups share a shingle, they are first compared with one of
+their members only, as what is linked needs no further comparison; pairs that are in different components
+after that are all compared.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .components import components
+from .work import Work
+
+SEED = 42
+#: The sample that tells common shingles: texts at most (about), texts of it that hold one, and shingles at most.
+SAMPLE, COMMON, TABLE = 10_000, 3, 50_000
+#: Groups are compared with a member of theirs while more pairs than this for each place of a prefix are open, so many times at most.
+OPEN, ROUNDS = 1, 6
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The set of the XXH64 of a text's shingles, ascending. Fewer words than a shingle are one shingle, none are none."""
+    import xxhash
+
+    parts = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
+    k = min(words, len(parts))
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
+    spans = zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist()) if k else ()
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64))
+
+
+def prefix(grams: np.ndarray, common: np.ndarray, rank: np.ndarray, limit: Fraction) -> np.ndarray:
+    """The first n - ceil(limit * n) + 1 of n shingles: rare ones by value, then ``common`` ones (ascending) by rank."""
+    n = len(grams)
+    if not n:
+        return grams
+    r = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+        r = np.where(common[at] == grams, rank[at], 0)
+    return grams[np.lexsort((grams, r))[: n + 1 + (-limit.numerator * n) // limit.denominator]]
+
+
+def _common(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample hold, ascending, and the rank (from 1) of each, the most frequent last."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    some = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), words).view(np.int64))], ["t"])
+
+    counts = some.distinct().mapInArrow(run, "t long").groupBy("t").count().where(F.col("count") >= COMMON)
+    top = counts.orderBy(F.desc("count"), "t").limit(TABLE).collect()
+    tokens = np.array([r["t"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], (len(top) - np.arange(len(top)))[order]
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, limit: Fraction) -> DataFrame:
+    """(id, text, s0, s1, n, prefix): the digest of a text's set, its size and its prefix."""
+    common, rank = _common(docs, text_col, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                batch, digests, sizes, first = whole.slice(k, 1024), [], [], []
+                for t in batch.column(1):
+                    grams = shingles(t.as_py(), words)
+                    digests.append(np.frombuffer(xxhash.xxh128_digest(grams.tobytes()), np.int64))
+                    sizes.append(len(grams))
+                    first.append(prefix(grams, common, rank, limit).view(np.int64))
+                d = np.stack(digests)
+                cut = pa.array(np.cumsum([0, *map(len, first)]), pa.int32())
+                cols = [pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(cut, pa.array(np.concatenate(first)))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *cols], ["id", "text", "s0", "s1", "n", "prefix"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, text string, s0 long, s1 long, n int, prefix array<long>")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by their first column, those that are not alone with their value."""
+    held = None
+    for batch in batches:
+        batch = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0] if batch.num_rows else batch
+        if not batch.num_rows:
+            continue
+        t = batch.column(0).to_numpy()
+        new = np.r_[True, t[1:] != t[:-1]]
+        last = int(np.flatnonzero(new)[-1])  # the last group may go on in the next batch
+        alone = new & np.r_[new[1:], True]
+        if last:
+            yield batch.slice(0, last).filter(pa.array(~alone[:last]))
+        held = batch.slice(last)
+    if held is not None and held.num_rows > 1:
+        yield held
+
+
+def _linked(limit: Fraction):
+    """Pairs (a, b) of rows (a, b, set a, set b) whose similarity reaches the limit."""
+    num, den = limit.numerator, limit.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok[k] = both * den >= num * (len(x) + len(y) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                grams = pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), grams], ["nid", "grams"])
+
+    return run
+
+
+def _possible(limit: Fraction, x: str, y: str) -> Column:
+    """Whether sizes n and the places k of a shared shingle allow the limit, if it is the first one shared."""
+    n, m = F.col(f"{x}.n").cast("long"), F.col(f"{y}.n").cast("long")
+    left = 1 + F.least(n - F.col(f"{x}.k") - 1, m - F.col(f"{y}.k") - 1)
+    num, den = limit.numerator, limit.denominator
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (left * (num + den) >= (n + m) * num)
+
+
+def _links(work: Work, rows: DataFrame, words: int, limit: Fraction) -> DataFrame | None:
+    """Links (a, b) among distinct sets (nid, text, n, prefix), enough to connect all that reach the limit."""
+    parts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
+    tokens = rows.select("nid", "n", F.posexplode("prefix").alias("k", "t")).select("t", "nid", "n", "k")
+    dealt = tokens.repartition(parts, "t").sortWithinPartitions("t")
+    shared = work.save(dealt.mapInArrow(_shared, "t long, nid long, n int, k int"), "shared")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = work.save(pairs, f"{name}_pairs")
+        met = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+        sets = work.save(rows.join(met, "nid", "left_semi").select("nid", "text").mapInArrow(_sets(words), "nid long, grams binary"), f"{name}_sets")
+        a, b = (sets.select(F.col("nid").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
+        whole = pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb")
+        found = work.save(whole.mapInArrow(_linked(limit), "a long, b long"), name)
+        work.drop(f"{name}_pairs", f"{name}_sets")
+        return found
+
+    total, links = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0, None
+    open_ = shared.withColumn("comp", F.col("nid"))
+    for k in range(ROUNDS + 1):
+        # groups that are one component need nothing more
+        counts = open_.groupBy("t", "comp").count().groupBy("t").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("own"), F.count("*").alias("comps"))
+        still = work.save(open_.join(counts.where("comps > 1"), "t"), f"open{k}")
+        pairs = still.select("t", "all", "own").distinct().agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
+        if not pairs:
+            return links
+        if k == ROUNDS or pairs <= OPEN * total:
+            break
+        member = F.struct("nid", "n", "k", "comp")
+        centre = still.groupBy("t").agg(F.min_by(member, F.xxhash64("nid", F.lit(SEED + k))).alias("c"))
+        stars = still.select("t", member.alias("x")).join(centre, "t").where((F.col("x.comp") != F.col("c.comp")) & _possible(limit, "x", "c"))
+        found = verified(stars.select(F.col("x.nid").alias("a"), F.col("c.nid").alias("b")).distinct(), f"stars{k}")
+        links = found if links is None else links.unionByName(found)
+        roots = components(work, links, f"cc{k}_")
+        named = still.drop("comp", "all", "own", "comps").join(roots, F.col("nid") == F.col("node"), "left")
+        if k:
+            work.drop(f"open{k - 1}")
+        open_ = named.select("t", "nid", "n", "k", F.coalesce("root", "nid").alias("comp"))
+    x, y = (still.select("t", F.struct("nid", "n", "k", "comp").alias(c)) for c in "xy")
+    every = x.join(y, "t").where((F.col("x.nid") < F.col("y.nid")) & (F.col("x.comp") != F.col("y.comp")) & _possible(limit, "x", "y"))
+    found = verified(every.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct(), "rest")
+    return found if links is None else links.unionByName(found)
+
+
+def shingle_components(docs: DataFrame, words: int = 5, limit: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, component_id.
+
+    Component: texts are linked whose shingle sets' Jaccard similarity is ``limit`` at least, and component_id is the
+    smallest id that links lead to. Texts without words, and null texts, have the empty set and are one component.
+    Shingles are compared by 64-bit hashes, sets by 128-bit digests. Null ids never name a component
+    unless all its ids are null. An empty table gives an empty result; other columns are not read.
+    """
+    share = Fraction(str(limit))
+    work = Work(docs.sparkSession, "shingles")
+    made = _rows(docs, id_col, text_col, words, share).withColumn("rid", F.monotonically_increasing_id())
+    rows = work.save(made, "rows")
+    sets = work.save(rows.groupBy("s0", "s1").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("rid").alias("nid")), "distinct")
+    whole = rows.join(sets.select("nid"), F.col("rid") == F.col("nid"), "left_semi").select(F.col("rid").alias("nid"), "text", "n", "prefix")
+    links = _links(work, whole, words, share)
+    named = sets.select("s0", "s1", F.col("least").alias("component_id"))
+    if links is not None:
+        roots = components(work, links)
+        linked = sets.join(roots, sets["nid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "nid"))
+        names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+        named = linked.select("s0", "s1", "root").join(names, "root").drop("root")
+    out = rows.select("id", "s0", "s1").join(named, ["s0", "s1"]).select(F.col("id").alias(id_col), F.coalesce("component_id", "id").alias("component_id"))
+    result = work.save(out, "result")
+    work.keep_only("result")
+    return result

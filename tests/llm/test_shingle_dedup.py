@@ -1,0 +1,78 @@
+"""Near copies by shingle sets, against brute force, and in the pipeline's stage."""
+
+import random
+
+import pytest
+
+import corpus_pipeline as cp
+from reqweave.llm import queries, shingle_dedup
+from tests.llm.test_operators import SCHEMA, hard_docs
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(rng, n):
+    return ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(4, 9))) for _ in range(n)]
+
+
+def brute(rows):
+    """Of rows (id, text): the pairs of id and component's least id, sorted."""
+    sets, up = [], list(range(len(rows)))
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + cp.WORDS]) for i in range(max(1, len(w) - cp.WORDS + 1))} if w else set())
+
+    def root(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    least = {}
+    for a, (i, _) in enumerate(rows):
+        least[root(a)] = min((x for x in (i, least.get(root(a))) if x is not None), default=None)
+    return sorted(((i, least[root(a)]) for a, (i, _) in enumerate(rows)), key=repr)
+
+
+def test_stage_groups_every_pair_from_the_limit_on(spark, sf_dir):
+    rng = random.Random(8)
+    docs, copies, want = [], [], set()
+    for k in range(140):
+        if k < 20:  # 9 shingles, 8 of them shared: 0.8 exactly
+            n, tail = 13, 1
+        else:  # 196 shingles: 0.90 to 0.806 with up to 21 words of the end changed; 0.798 to 0.72 with 22 and more
+            n, tail = 200, 10 + k % 12 if k < 100 else 22 + k % 10
+        w = words(rng, n)
+        docs.append((k, " ".join(w), "en", "s", 1))
+        copies.append((1000 + k, " ".join(w[:-tail] + words(rng, tail)), "en", "s", 1))
+        want |= {k} if k < 100 else {k, 1000 + k}
+    assert {r.doc_id for r in cp.near_dedup(spark, spark.createDataFrame(docs + copies, DOCS), sf_dir).collect()} == want
+
+
+@pytest.mark.parametrize("open_, rounds, common", [(1, 6, 3), (0, 2, 3), (0, 2, 1 << 30)])
+def test_components_are_exact(spark, monkeypatch, open_, rounds, common):
+    monkeypatch.setattr(shingle_dedup, "OPEN", open_)
+    monkeypatch.setattr(shingle_dedup, "ROUNDS", rounds)
+    monkeypatch.setattr(shingle_dedup, "COMMON", common)
+    rng = random.Random(5)
+    passage, rows = words(rng, 40), [(r[0], r[1]) for r in hard_docs()]
+    for k in range(6):  # clouds of copies of copies, chains among them, and a passage that many texts hold
+        at = words(rng, 120) + passage
+        for i in range(12):
+            rows.append((1000 + 100 * k + i, " ".join(at)))
+            for _ in range(rng.randrange(1, 4)):
+                at[rng.randrange(len(at))] = "x" + str(rng.random())
+    got = shingle_dedup.shingle_components(spark.createDataFrame(rows, "doc_id long, text string"), words=cp.WORDS)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+
+
+def test_supplied_documents_and_nothing(spark, sf_dir):
+    docs = queries.documents(spark, sf_dir)
+    got = shingle_dedup.shingle_components(docs, words=cp.WORDS, limit=cp.SIMILARITY)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(sorted((r.doc_id, r.text) for r in docs.collect()))
+    assert shingle_dedup.shingle_components(spark.createDataFrame([], SCHEMA)).count() == 0
