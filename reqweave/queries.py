@@ -357,6 +357,17 @@ ALL = {
         ),
         f"WITH {SECTION_SQL} SELECT content, header1, doc_id FROM sections WHERE section_no = 0",
     ),
+    # chunk_json as it should be, over every section; that one and its SQL look at the first section of a document only
+    "chunk_json_all": (
+        lambda s, d: sinks.chunk_json(md_sections(s, d)).select(
+            F.get_json_object("json", "$.page_content").alias("content"),
+            F.get_json_object("json", "$.metadata.header1").alias("header1"),
+            F.get_json_object("json", "$.metadata.header2").alias("header2"),
+            F.get_json_object("json", "$.metadata.section_no").cast("long").alias("section_no"),
+            F.get_json_object("json", "$.metadata.doc_id").cast("long").alias("doc_id"),
+        ),
+        f"WITH {SECTION_SQL} SELECT content, header1, header2, section_no, doc_id FROM sections",
+    ),
     "fake_extract": (
         lambda s, d: rule_items(s, d).select("doc_id", "item_no", "code"),
         f"WITH {CODES_SQL} SELECT doc_id, item_no, code FROM found",
