@@ -47,8 +47,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text."""
-    return queries.bpe_digests(docs)
+    """doc_id, the token ids, their number, and the digests of ids and decoded text."""
+    return queries.bpe_digests(docs, "ids")
 
 
 STAGES = [

@@ -83,10 +83,12 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def bpe_digests(docs: DataFrame) -> DataFrame:
+def bpe_digests(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the columns of ``bpe.decode`` that ``more`` names, n_tokens and digests."""
     coded = bpe.decode(bpe.encode(docs, tokenizer()), tokenizer())
     return coded.select(
         "doc_id",
+        *more,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
