@@ -9,10 +9,13 @@ and the plans that read them carry no lineage.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +25,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of this session."""
+    """The shared folder of this session: on a cluster spark.checkpoint.dir must name it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="reqweave-"))
         root = _OWN[0]
@@ -97,6 +102,57 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Words of 64 bits that ``may_hold`` broadcasts at most (16 MB).
+MOST_WORDS = 1 << 20
+
+
+def may_hold(rows: DataFrame, key: Column, wanted: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean column ``name``: false where ``key``, a 64-bit hash, is surely not among ``wanted`` (a column of hashes).
+
+    Rows that are false need not move for a join with what is wanted. The filter has 16 bits for each hash up to
+    four million of them (one in 16 other rows is true then); beyond that it keeps its size, so more rows are true.
+    """
+    hashed = wanted.select(F.col(wanted.columns[0]).alias("h"))
+    words = min(MOST_WORDS, 1 << (hashed.count() // 4).bit_length())
+    word = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(words - 1))
+    bits = hashed.groupBy(word(F.col("h")).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("__bits"))
+    marked = rows.withColumn("__key", key).withColumn("__word", word(F.col("__key"))).join(F.broadcast(bits), "__word", "left")
+    hit = F.expr("shiftrightunsigned(coalesce(__bits, 0L), cast(__key & 63 as int)) & 1 = 1")
+    return marked.withColumn(name, hit).drop("__word", "__bits", "__key")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column (names are compared as Spark does, without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` rows at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, after which a worker, which lives on for other tasks, gives memory back that it no longer uses."""
+
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return then
+
+
 def columns(df: DataFrame) -> list[Column]:
     """All columns of ``df``, whatever characters their names hold."""
     return [F.col(f"`{c}`") for c in df.columns]
