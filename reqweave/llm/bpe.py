@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries of the tables of words and fragments; a full table is emptied.
-KEPT = 150_000
+from .work import lean, slices
+
+#: Entries of the tables of words and fragments (about 6 MB each); a full table is emptied.
+KEPT, LONGEST = 40_000, 60
 #: Rows of a batch that a task returns at once.
 ROWS = 512
 
@@ -133,7 +135,7 @@ class _Table(dict):
         if len(self) >= KEPT:
             self.clear()
         value = self.make(key)
-        if len(key) < 100:  # long ones come once, and would take the memory
+        if len(key) < LONGEST:  # long ones come once, and would take the memory
             self[key] = value
         return value
 
@@ -143,51 +145,54 @@ _loaded: dict = {}
 
 def _once(make, source: bytes):
     """What ``make`` makes of a tokenizer, kept for a worker's next task."""
-    key = (make, hash(source))
-    if key not in _loaded:
+    if _loaded.get("source") != source:
         _loaded.clear()
-        _loaded[key] = make(source)
-    return _loaded[key]
+        _loaded["source"] = source
+    if make not in _loaded:
+        _loaded[make] = make(source)
+    return _loaded[make]
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) for every row.
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids array<int>) for every row, and the column decoded, the text of these ids, if that is asked for.
 
     The tokenizer's file is read by the driver and sent to the workers (a file of fixed size). A null or empty text
-    has no ids. Rows are encoded one by one, so repeated rows and null ids come out as they came in.
+    has no ids. Rows are encoded one by one, so repeated rows and null ids come out as they came in. Other columns
+    are not read. Texts are decoded in the pass that encodes them, so a task needs one worker.
     """
     with open(tokenizer_path, "rb") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _once(Bpe, source.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                found = [bpe.encode(t.as_py() or "") for t in batch.column(1)]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
+        tokens = _once(token_list, source.value) if decoded else []
+        for batch in slices(batches, ROWS):
+            found = [bpe.encode(t.as_py() or "") for t in batch.column(1)]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
+            cols, names = [batch.column(0), ids], ["id", "ids"]
+            if decoded:
+                cols, names = [*cols, pa.array([decode_ids(tokens, x.tolist()) for x in found], pa.string())], [*names, "decoded"]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), "id long, ids array<int>" + ", decoded string" * decoded).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with the column decoded: the text of the ids. Null ids give a null text."""
+    """``encoded`` with the column decoded: the text of the ids. Null ids give a null text; a column of that name is replaced."""
     with open(tokenizer_path, "rb") as f:
         source = encoded.sparkSession.sparkContext.broadcast(f.read())
+    encoded = encoded.drop("decoded")
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _once(token_list, source.value)
-        for whole in batches:
-            for k in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(k, ROWS)
-                ids = batch.column(at)
-                flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-                texts = [decode_ids(tokens, flat[a:b].tolist()) if ok else None for a, b, ok in zip(ends, ends[1:], ids.is_valid().to_pylist())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+        for batch in slices(batches, ROWS):
+            ids = batch.column(at)
+            flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+            texts = [decode_ids(tokens, flat[a:b].tolist()) if ok else None for a, b, ok in zip(ends, ends[1:], ids.is_valid().to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(lean(run), schema)

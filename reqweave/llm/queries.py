@@ -84,8 +84,8 @@ def tokenizer() -> str:
 
 
 def bpe_digests(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, the columns of ``bpe.decode`` that ``more`` names, n_tokens and digests."""
-    coded = bpe.decode(bpe.encode(docs, tokenizer()), tokenizer())
+    """doc_id, the columns of ``bpe.encode`` that ``more`` names, n_tokens and digests."""
+    coded = bpe.encode(docs, tokenizer(), decoded=True)
     return coded.select(
         "doc_id",
         *more,
