@@ -8,15 +8,32 @@ from pyspark.sql import functions as F
 from .work import Work
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A node with more links than this, and than a share of all links, is a hub; at most 2 / SHARE nodes are hubs.
+HUB, SHARE = 256, 1e-5
+
+
+def _with_least(work: Work, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``links`` with the least neighbour of ``a``, and that least of every node.
+
+    Hubs' links, which may be most of all, stay where they are: the hubs are broadcast.
+    """
+    least = work.save(links.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")), name)
+    total = least.agg(F.sum("n")).first()[0] or 0
+    hubs = least.where(F.col("n") > max(HUB, int(total * SHARE))).select("a", F.col("least").alias("hub_least"))
+    marked = links.join(F.broadcast(hubs), "a", "left")
+    at_hub = marked.where("hub_least is not null").select("a", "b", F.col("hub_least").alias("least"))
+    rest = marked.where("hub_least is null").select("a", "b").join(least.select("a", "least"), "a")
+    return at_hub.unionByName(rest), least.select("a", "least")
+
+
+def _large_star(work: Work, edges: DataFrame, name: str) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("least"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b"))
+    joined, _ = _with_least(work, both, name)
+    return joined.where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("least"))
-    joined = edges.join(least, "a")
+def _small_star(work: Work, edges: DataFrame, name: str) -> DataFrame:
+    joined, least = _with_least(work, edges, name)
     moved = joined.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
 
@@ -32,9 +49,10 @@ def components(work: Work, edges: DataFrame, name: str = "cc") -> DataFrame:
     seen, k = None, 0
     while True:
         k += 1
-        now = work.save(_small_star(_large_star(now)), f"{name}{k}")
+        large = work.save(_large_star(work, now, f"{name}{k}_up"), f"{name}{k}_large")
+        now = work.save(_small_star(work, large, f"{name}{k}_down"), f"{name}{k}")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        work.drop(f"{name}{k - 1}")
+        work.drop(f"{name}{k - 1}", f"{name}{k}_up", f"{name}{k}_large", f"{name}{k}_down")
         if state == seen:
             break
         seen = state

@@ -134,10 +134,21 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def link(f: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (positions in f) among the fingerprints of each node; ``node`` is ascending."""
-    rank = gray_rank(f)
-    order = np.lexsort((*rank.T[::-1], node))
-    g, at = f[order], node[order]
-    label = np.arange(len(g))
+    order, pairs = close_pairs(f, node, radius)
+    label = np.arange(len(f))
+    for i, j in pairs:
+        _union(label, i, j)
+    moved = np.flatnonzero(label != np.arange(len(f)))
+    return order[moved], order[label[moved]]
+
+
+def close_pairs(f: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """The order of the leaves, and blocks of pairs (places in that order) of one node's fingerprints within the radius."""
+    order = np.lexsort((*gray_rank(f).T[::-1], node))
+    return order, _close_pairs(f[order], node[order], radius)
+
+
+def _close_pairs(g: np.ndarray, at: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     sizes = np.diff(np.r_[starts, len(g)])
     small = np.flatnonzero(np.repeat(sizes <= LEAF, sizes))
@@ -146,14 +157,11 @@ def link(f: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
         small = small[small + d < len(g)]
         small = small[at[small + d] == at[small]]
         near = small[_distance(g[small], g[small + d]) <= radius]
-        _union(label, near, near + d)
+        yield near, near + d
         d += 1
     for s, n in zip(starts[sizes > LEAF], sizes[sizes > LEAF]):
-        sub = label[s : s + n] - s
-        _search(g[s : s + n], sub, radius)
-        label[s : s + n] = sub + s
-    moved = np.flatnonzero(label != np.arange(len(g)))
-    return order[moved], order[label[moved]]
+        for i, j in _search(g[s : s + n], radius):
+            yield i + s, j + s
 
 
 def _shared(f: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,8 +171,8 @@ def _shared(f: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return ~(both ^ any_), both
 
 
-def _search(g: np.ndarray, label: np.ndarray, radius: int) -> None:
-    """Joins all fingerprints of one node, sorted by Gray rank, that are within the radius."""
+def _search(g: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs within the radius of one node's fingerprints, which are sorted by Gray rank."""
     upper_m, upper_p = _shared(g, LEAF * FAN)
     leaf_m, leaf_p = _shared(g, LEAF)
     i, j = np.triu_indices(len(upper_m))
@@ -189,7 +197,7 @@ def _search(g: np.ndarray, label: np.ndarray, radius: int) -> None:
         p, q, r = np.nonzero(far <= radius)
         left, right = x[p, q], y[p, r]
         ok = (left < right) & (right < len(g))
-        _union(label, left[ok], right[ok])
+        yield left[ok], right[ok]
 
 
 def _link_batches(m: int, radius: int, keys: int):
@@ -262,7 +270,11 @@ def near_links(work: Work, fps: DataFrame, bits: int, radius: int, cap: int = CA
         schema = ", ".join(f"{x} long" for x in masks) + f", kid struct<{', '.join(f'{x}: long' for x in masks)}>"
         kids = {k: children(k, *level[k], radius) for k in sorted(level)}
         table = [(*map(_signed, k), tuple(map(_signed, kid))) for k in kids for kid, _, _ in kids[k]]
-        rows = rows.join(F.broadcast(spark.createDataFrame(table, schema)), masks).drop(*masks)
+        if depth:
+            rows = rows.join(F.broadcast(spark.createDataFrame(table, schema)), masks).drop(*masks)
+        else:
+            first = [F.struct(*[F.lit(v).cast("long").alias(x) for v, x in zip(kid, masks)]) for *_, kid in table]
+            rows = rows.withColumn("kid", F.explode(F.array(*first)))
         rows = rows.select("nid", "up", *fs, *[F.col(f"kid.{x}").alias(x) for x in masks])
         rows = rows.withColumns({p: F.col(f).bitwiseAND(F.col(x)) for p, f, x in zip(patterns, fs, masks)})
         sizes = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("nid").alias("first")).where("n > 1")

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as cp
-from reqweave.llm import queries, shingle_dedup
+from reqweave.llm import near_duplicates as nd
+from reqweave.llm import queries
 from tests.llm.test_operators import SCHEMA, hard_docs
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -15,7 +17,7 @@ def words(rng, n):
     return ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(4, 9))) for _ in range(n)]
 
 
-def brute(rows):
+def near_brute(rows):
     """Of rows (id, text): the pairs of id and component's least id, sorted."""
     sets, up = [], list(range(len(rows)))
     for _, t in rows:
@@ -54,11 +56,27 @@ def test_stage_groups_every_pair_from_the_limit_on(spark, sf_dir):
     assert {r.doc_id for r in cp.near_dedup(spark, spark.createDataFrame(docs + copies, DOCS), sf_dir).collect()} == want
 
 
-@pytest.mark.parametrize("open_, rounds, common", [(1, 6, 3), (0, 2, 3), (0, 2, 1 << 30)])
-def test_components_are_exact(spark, monkeypatch, open_, rounds, common):
-    monkeypatch.setattr(shingle_dedup, "OPEN", open_)
-    monkeypatch.setattr(shingle_dedup, "ROUNDS", rounds)
-    monkeypatch.setattr(shingle_dedup, "COMMON", common)
+def test_recall_at_the_limit():
+    """Of pairs at 0.8 exactly, of 5 to 400 shingles, how many fall under a mask together and within the radius (0.94 to 1)."""
+    rng = np.random.default_rng(3)
+    for n in (1 << 18, 1 << 24):
+        signed = np.array(nd.masks(n), np.int64).view(np.uint64)
+        for size in (5, 9, 18, 45, 400):
+            own = size // 9 if size % 9 == 0 else 0
+            shared = size - own if own else size * 4 // 5
+            met = []
+            for _ in range(300):
+                h = rng.integers(0, 1 << 64, (size + max(own, size - shared - own), 2), dtype=np.uint64)
+                a, b = (h[:size], np.r_[h[:shared], h[size:][:own]]) if own else (h[:size], h[:shared])
+                x = nd.fingerprint(a) ^ nd.fingerprint(b)
+                met.append(np.bitwise_count(x).sum() <= nd.RADIUS and bool(((x & signed) == 0).all(axis=1).any()))
+            assert np.mean(met) >= (0.9 if size < 9 else 0.97), (n, size, np.mean(met))
+
+
+@pytest.mark.parametrize("cap, rounds, left", [(nd.CAP, nd.ROUNDS, nd.LEFT), (6, 2, 0), (6, 0, 0), (nd.CAP, 3, 0)])
+def test_components_are_exact(spark, monkeypatch, cap, rounds, left):
+    monkeypatch.setattr(nd, "ROUNDS", rounds)
+    monkeypatch.setattr(nd, "LEFT", left)
     rng = random.Random(5)
     passage, rows = words(rng, 40), [(r[0], r[1]) for r in hard_docs()]
     for k in range(6):  # clouds of copies of copies, chains among them, and a passage that many texts hold
@@ -67,12 +85,14 @@ def test_components_are_exact(spark, monkeypatch, open_, rounds, common):
             rows.append((1000 + 100 * k + i, " ".join(at)))
             for _ in range(rng.randrange(1, 4)):
                 at[rng.randrange(len(at))] = "x" + str(rng.random())
-    got = shingle_dedup.shingle_components(spark.createDataFrame(rows, "doc_id long, text string"), words=cp.WORDS)
-    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=cp.WORDS, cap=cap)
+    assert sorted(map(tuple, got.collect()), key=repr) == near_brute(rows)
 
 
 def test_supplied_documents_and_nothing(spark, sf_dir):
     docs = queries.documents(spark, sf_dir)
-    got = shingle_dedup.shingle_components(docs, words=cp.WORDS, limit=cp.SIMILARITY)
-    assert sorted(map(tuple, got.collect()), key=repr) == brute(sorted((r.doc_id, r.text) for r in docs.collect()))
-    assert shingle_dedup.shingle_components(spark.createDataFrame([], SCHEMA)).count() == 0
+    got = nd.near_duplicates(docs, words=cp.WORDS, limit=cp.SIMILARITY)
+    assert sorted(map(tuple, got.collect()), key=repr) == near_brute(sorted((r.doc_id, r.text) for r in docs.collect()))
+    assert nd.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    with pytest.raises(ValueError):
+        nd.near_duplicates(docs, limit=0.5)

@@ -4,7 +4,8 @@ import pytest
 
 import corpus_pipeline as cp
 from reqweave.llm import mixing, queries
-from tests.llm.test_operators import SCHEMA, component_brute, hard_docs, lines_brute, simhash_brute
+from tests.llm.test_near_duplicates import near_brute
+from tests.llm.test_operators import SCHEMA, hard_docs, lines_brute
 
 
 @pytest.fixture(scope="module")
@@ -44,10 +45,9 @@ def test_line_stage(stages):
 
 def test_near_stage(stages):
     docs, after = stages[2]
-    rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    roots = component_brute([tuple(simhash_brute(t, cp.WORDS, s) for s in (42, 43)) for _, t in rows], cp.RADIUS)
-    assert {r.doc_id for r in after.collect()} == {rows[k][0] for k in set(roots)}
-    assert len(set(roots)) < len(rows)
+    want = near_brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id for r in after.collect()} == {i for i, c in want if i == c}
+    assert after.count() < docs.count()
 
 
 def test_mix_stage(stages, spark):
