@@ -11,15 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqweave.llm import langid, line_dedup, mixing, queries, shingle_dedup
+from reqweave.llm import langid, line_dedup, mixing, near_duplicates, queries
 from reqweave.llm.work import Work, columns
 
 #: A text is rejected if it has no letters or no language gets this share (a guess among four gets 0.25).
 MIN_SCORE = 0.3
 #: Five-word shingles, and the similarity of their sets from which two texts are near copies.
 WORDS, SIMILARITY = 5, 0.8
-#: No stage reads these: the expected distance of fingerprints at that similarity, as an older test has it.
-BITS, RADIUS = 128, 19
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +34,7 @@ def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group. Rows with equal ids are one document; null ids stay."""
-    groups = shingle_dedup.shingle_components(docs, words=WORDS, limit=SIMILARITY)
+    groups = near_duplicates.near_duplicates(docs, words=WORDS, limit=SIMILARITY)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*columns(docs))
 
