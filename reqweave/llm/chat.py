@@ -26,14 +26,21 @@ LOSS_ROLE = "assistant"
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "prompter": "user"}
 
 
+def _name(key: str) -> str:
+    """A field's name in a path: the marks that paths are made of are escaped."""
+    return re.sub(r"([\\.:\[\]])", r"\\\1", key)
+
+
 def paths(value, at: str = "$") -> set[str]:
     """The nested field paths of a JSON value, arrays' items under [], leaves with their kind."""
     if isinstance(value, dict):
-        return {p for k, v in value.items() for p in paths(v, f"{at}.{k}")} or {f"{at}:object"}
+        return {p for k, v in value.items() for p in paths(v, f"{at}.{_name(k)}")} or {f"{at}:object"}
     if isinstance(value, list):
         return {p for v in value for p in paths(v, f"{at}[]")} or {f"{at}[]:none"}
+    if isinstance(value, bool):
+        return {f"{at}:boolean"}
     # null and text are one kind: a null field of a known layout leads to the same mapping
-    return {f"{at}:{'number' if isinstance(value, int | float) and not isinstance(value, bool) else 'text'}"}
+    return {f"{at}:{'number' if isinstance(value, int | float) else 'text'}"}
 
 
 def fingerprint(fields: set[str]) -> str:
@@ -126,13 +133,14 @@ def format_chats(records: DataFrame, layouts: dict[str, Mapping] = LAYOUTS) -> D
 
     Rows of a conversation are ordered by (seq, item); their texts, one after another, are the
     formatted conversation. Any row can be formatted anywhere, so a conversation of any length
-    needs no task of its own here. A record that is null, no JSON object or of an unknown layout gives
-    one row with null ``formatted`` and the reason (with its fingerprint) in ``error``. Null roles and texts are empty.
+    needs no task of its own here. A record that is null, no JSON object, nested too deeply, not Unicode text (half a
+    surrogate pair) or of an unknown layout (one with a list that has no turns is such) gives one row with null
+    ``formatted`` and the reason, of a layout its fingerprint, in ``error``. Null roles and texts are empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for conv, seq, record in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "seq", "record"))):
                 rows += [(conv, seq, *x) for x in _formatted(record, layouts)]
             names = [x.split()[0] for x in FORMATTED.split(", ")]
@@ -143,14 +151,24 @@ def format_chats(records: DataFrame, layouts: dict[str, Mapping] = LAYOUTS) -> D
 
 
 def _formatted(record: str | None, layouts: dict[str, Mapping]) -> list[tuple]:
+    failed = lambda why: [(0, None, None, None, why)]
     try:
         value = json.loads(record)
-    except (TypeError, ValueError):
-        return [(0, None, None, None, "no JSON")]
-    found = layouts.get(fingerprint(paths(value))) if isinstance(value, dict) else None
+        print_ = fingerprint(paths(value))
+    except (TypeError, ValueError) as e:  # a name that is no Unicode text fails here too
+        return failed("not Unicode text" if isinstance(e, UnicodeError) else "no JSON")
+    except RecursionError:
+        return failed("nested too deeply")
+    found = layouts.get(print_) if isinstance(value, dict) else None
     if found is None:
-        return [(0, None, None, None, f"unknown layout {fingerprint(paths(value))}")]
-    return [(i, *render(role, text), None) for i, (role, text) in enumerate(found.read(value))]
+        return failed(f"unknown layout {print_}")
+    try:
+        turns = [(i, *render(role, text), None) for i, (role, text) in enumerate(found.read(value))]
+        for _, formatted, *_ in turns:
+            formatted.encode()
+    except UnicodeError:  # half a surrogate pair
+        return failed("not Unicode text")
+    return turns
 
 
 def turn_records(conversations: DataFrame) -> DataFrame:

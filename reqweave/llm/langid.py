@@ -19,15 +19,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .work import lean, slices
+
 WINDOW, PAD = 256, 256
 DIM, WIDTHS, FILTERS = 4, (2, 3, 4), 12
 #: The bounded sample that the network is fitted to: windows of each language, and of a text, at most.
 WINDOWS_PER_LANG, WINDOWS_PER_TEXT = 1500, 4
 STEPS, BATCH, RATE, SEED = 900, 64, 0.01, 11
 UNKNOWN = "und"
+#: What letters are among; numbers such as ² are too, so ``has_letter`` looks at each.
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a character of one of Unicode's letter categories."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text or ""))
+
+
 @dataclass
 class ByteNet:
     """The network: an embedding, (weights, bias) for each width, and the softmax layer."""
@@ -155,29 +163,28 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return net.fit(np.stack(windows), np.array(labels), rng) if windows else net
 
 
-def predict(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns lang_pred and lang_score, from whole texts.
+def predict(docs: DataFrame, net: ByteNet, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
+    """``docs`` with the columns lang_pred and lang_score, from whole texts; columns of these names are replaced.
 
-    A text without letters, or a null one, is ``und`` with score 0; so is every text if no language was
+    A text without letters (category L; numbers such as ² are none), or a null one, is ``und`` with score 0; so is every text if no language was
     learned. Rows are judged one by one: repeated rows get equal answers.
     """
+    docs = docs.drop(pred_col, score_col)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                langs, scores = _judge(net, batch.column(at).to_pylist())
-                cols = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "lang_pred", "lang_score"])
+        for batch in slices(batches, 256):
+            langs, scores = _judge(net, batch.column(at).to_pylist())
+            cols = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, pred_col, score_col])
 
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    added = [T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())]
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *added]))
 
 
 def _judge(net: ByteNet, texts: list[str | None]) -> tuple[list[str], list[float]]:
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    known = [i for i, t in enumerate(texts) if t and net.langs and LETTER.search(t)]
+    known = [i for i, t in enumerate(texts) if net.langs and has_letter(t)]
     for i in known:
         data = texts[i].encode()
         total = np.zeros(len(net.langs))

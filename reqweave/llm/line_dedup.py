@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import Work, columns
+from .work import Work, columns, fresh
 
 RATIO, MIN_PAGES = 0.05, 4
 #: Up to this many boilerplate lines are broadcast; beyond it the join shuffles.
@@ -58,7 +58,7 @@ def line_dedup(
     its host hold it and they are more than ``ratio`` of the host's pages.
     Blank lines (spaces only) always stay. A null host is a host of its own; a
     null text stays null and counts as a page without lines; a page that loses
-    every line stays, with an empty text. Repeated rows are pages of their own.
+    every line stays, with an empty text. Repeated rows are pages of their own. Further columns stay, whatever their names.
     """
     work = Work(docs.sparkSession, "lines")
     host = F.coalesce(F.concat(F.lit("="), F.col(host_col)), F.lit(""))
@@ -67,18 +67,18 @@ def line_dedup(
     n = frequent.count()
     if n == 0:
         return docs
-    hot = frequent.groupBy("host").agg(F.collect_list(F.struct("h1", "h2")).alias("__hot"))
-    hot = hot.withColumnRenamed("host", "__host")
-    rows = docs.withColumn("__host", host)
+    host_, lines, salt = (fresh(docs, c) for c in ("__host", "__hot", "__salt"))
+    hot = frequent.groupBy(F.col("host").alias(host_)).agg(F.collect_list(F.struct("h1", "h2")).alias(lines))
+    rows = docs.withColumn(host_, host)
     if n <= BROADCAST_LINES:
-        joined = rows.join(F.broadcast(hot), "__host", "left")
+        joined = rows.join(F.broadcast(hot), host_, "left")
     else:
         # a host may hold a third of all pages: its lines go to SALTS tasks
         salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-        hot = hot.withColumn("__salt", F.explode(salts))
-        rows = rows.withColumn("__salt", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
-        joined = rows.join(hot, ["__host", "__salt"], "left")
+        hot = hot.withColumn(salt, F.explode(salts))
+        rows = rows.withColumn(salt, F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
+        joined = rows.join(hot, [host_, salt], "left")
     key = lambda line: F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("#"), line).alias("h2"))
-    kept = F.filter(_lines(F.col(text_col)), lambda line: ~F.array_contains("__hot", key(line)))
-    text = F.when(F.col(text_col).isNull() | F.col("__hot").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(_lines(F.col(text_col)), lambda line: ~F.array_contains(lines, key(line)))
+    text = F.when(F.col(text_col).isNull() | F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.withColumn(text_col, text).select(*columns(docs))

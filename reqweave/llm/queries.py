@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, line_dedup, media, mixing, sharding, simhash, suffix_dedup
+from . import bpe, chat, exact_dedup, langid, line_dedup, media, mixing, sharding, simhash, suffix_dedup, topics
+from .work import Work, fresh
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,25 +25,33 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(documents(spark, sf_dir), n_shards=40)
 
 
-#: Wanted shares of tokens. Sources that are not named would keep the share they have.
+#: Wanted shares of tokens, and a temperature for topics. Sources that are not named keep the share they have.
 MIX = mixing.Mix(
     targets={
-        "source": {f"src{i}": 0.2 if i == 0 else 0.8 / 19 for i in range(20)},
+        "source": {f"src{i}": 0.06 if i == 0 else 0.94 / 19 for i in range(20)},
         "lang": {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14},
-        "topic": {"prose": 0.86, "table": 0.06, "markup": 0.04, "contact": 0.04},
+        "topic": 0.8,
     },
     keep=0.6,
 )
+TOPICS = 4
 
 
-def mix_plan() -> mixing.Mix:
-    """MIX with its topic expression, which needs a running session."""
-    return mixing.Mix(MIX.targets, MIX.keep, MIX.seed, {"topic": mixing.topic_of(F.col("text"))})
+def mixed(docs: DataFrame, *drop: str) -> tuple[DataFrame, str]:
+    """``docs`` (without the columns ``drop``) with mixing's columns and their prefix. Topics and words are found once and written."""
+    topic, tokens, draw = (fresh(docs, c) for c in ("topic", "tokens", "draw"))
+    prefix = "mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    marked = topics.assign(docs.withColumn(draw, F.xxhash64("doc_id", "text")), topics.fit(docs, TOPICS), topic, tokens).drop(*drop)
+    marked = Work(docs.sparkSession, "mix").save(marked, "marked")
+    plan = mixing.Mix(MIX.targets, MIX.keep, MIX.seed, {"topic": F.col(topic)})
+    return mixing.mix(marked, plan, tokens=F.col(tokens), draw=F.col(draw), prefix=prefix), prefix
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(documents(spark, sf_dir), mix_plan())
-    return mixed.select("doc_id", "mix_cell", "mix_tokens", F.round("mix_probability", 9).alias("mix_probability"), "mix_sampled")
+    rows, _ = mixed(documents(spark, sf_dir).select("doc_id", "source", "lang", "text"), "text")
+    return rows.select("doc_id", "mix_cell", "mix_tokens", F.round("mix_probability", 9).alias("mix_probability"), "mix_sampled")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

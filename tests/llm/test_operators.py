@@ -2,7 +2,9 @@
 
 import functools
 import hashlib
+import json
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -12,9 +14,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from reqweave.llm import bpe, chat, components, exact_dedup, langid, line_dedup, media, mixing, queries, sharding, simhash, suffix_dedup, work
+from reqweave.llm import bpe, chat, components, exact_dedup, langid, line_dedup, media, mixing, queries, sharding, simhash, suffix_dedup, topics, work
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, rid int, gid int, n int, host string, node int, size int, kind string, data string, part int, f0 int, best int, root int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, rid int, gid int, n int, host string, node int, size int, kind string, data string, part int, f0 int, best int, root int, lang_pred string, lang_score int, mix_cell string, mix_tokens int, mix_sampled string, decoded int, ids string, __host string, __hot int, topic string, tokens string, draw int"
 
 
 def hard_docs():
@@ -27,9 +29,9 @@ def hard_docs():
         words = b.split()
         words[20] = "changed"
         texts += [b, b, b.replace(" ", "\n", 3), " ".join(words), b + " tail " + word()]
-    texts += ["long " * 30_000, "long " * 30_000, base[0] + base[1], "É ß 日本 \U0001f600 " * 20, "a" * 200, "\\n<|im_end|>"]
-    rows = [(i, t, ["en", None, "de"][i % 3], [None, "s", "s", "t"][i % 4], len(t or ""), "i", 1, 2, 3, "h", 4, 5, "k", "d", 6, 7, 8, 9) for i, t in enumerate(texts)]
-    rows += [rows[9], rows[9], (None, base[0], *rows[9][2:]), (None, None, *[None] * 16)]
+    texts += ["long " * 30_000, "long " * 30_000, base[0] + base[1], "É ß 日本 \U0001f600 " * 20, "a" * 200, "\\n<|im_end|>", "\u00b2 \u00bd \u2460 7"]
+    rows = [(i, t, ["en", None, "de"][i % 3], [None, "s", "s", "t"][i % 4], len(t or ""), "i", 1, 2, 3, "h", 4, 5, "k", "d", 6, 7, 8, 9, "lp", 1, "mc", 2, "ms", 3, "is", "hh", 4, "tp", "tk", 5) for i, t in enumerate(texts)]
+    rows += [rows[9], rows[9], (None, base[0], *rows[9][2:]), (None, None, *[None] * 28)]
     rng.shuffle(rows)
     return rows
 
@@ -269,25 +271,107 @@ def test_rake_meets_marginals():
         assert np.allclose(w.sum(axis=tuple(a for a in range(3) if a != axis)), m, atol=1e-8)
     # raking keeps the odds between cells
     odds = lambda t: t[0, 0, 0] * t[1, 1, 0] / (t[0, 1, 0] * t[1, 0, 0])
-    assert np.isclose(odds(w), odds(tokens))
-    p = mixing.probabilities(tokens, w, 0.3)
-    assert np.isclose((p * tokens).sum(), 0.3 * tokens.sum()) and p.max() <= 1
+    assert np.isclose(odds(w), odds(tokens), rtol=1e-6)
+
+
+def test_calibrated_shares_meet_the_targets():
+    """Bounded raking: what the probabilities keep has the marginals, and as much as wanted or as can be."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        tokens = rng.integers(0, 1000, (6, 4, 3)).astype(float) * (rng.random((6, 4, 3)) < 0.9)
+        have = [tokens.sum(axis=tuple(a for a in range(3) if a != k)) / tokens.sum() for k in range(3)]
+        marginals = [(h * rng.uniform(0.6, 1.6, len(h))) for h in have]
+        marginals = [m / m.sum() for m in marginals]
+        c = mixing.calibrate(tokens, marginals, 0.6)
+        kept = c.chance * tokens
+        assert c.chance.max() <= 1 and c.gap < 1e-6
+        assert np.isclose(kept.sum() / tokens.sum(), c.keep)
+        for k, m in enumerate(marginals):
+            assert np.abs(kept.sum(axis=tuple(a for a in range(3) if a != k)) / kept.sum() - m).max() < 1e-5
+        if c.keep < 0.6:  # a little more would break a target
+            assert mixing.gap(mixing.rake(tokens, marginals, tokens / tokens.sum() / (c.keep * 1.01)), marginals) > 1e-6
+    # a target that no cell can give, and nothing at all
+    assert mixing.calibrate(np.array([[1.0, 0.0], [0.0, 1.0]]), [np.array([0.5, 0.5]), np.array([0.2, 0.8])], 0.5).gap > 0.1
+    assert mixing.calibrate(np.zeros((2, 2)), [np.zeros(2), np.zeros(2)], 0.5).chance.max() == 0
+
+
+def mix_brute(docs, topics_of, plan):
+    """Of rows (id, source, lang, text): (tokens, probability) by an own, plain form of raking on rows instead of cells."""
+    n = np.array([len(re.findall(r"[^ \t-\r]+", t or "")) for *_, t in docs], float)
+    axes = [np.array([d[1] for d in docs], object), np.array([d[2] for d in docs], object), np.array(topics_of, object)]
+    targets = []
+    for values, t in zip(axes, plan.targets.values()):
+        share = {v: n[values == v].sum() / n.sum() for v in set(values)}
+        want = {v: t.get(v, 0) for v in share} if isinstance(t, dict) else {v: s**t for v, s in share.items()}
+        targets.append({v: w / sum(want.values()) for v, w in want.items()})
+    lo, hi, best = 0.0, plan.keep, None
+    for step in range(15):
+        keep = hi if not step else (lo + hi) / 2
+        p = np.full(len(docs), keep)
+        for _ in range(400):
+            for values, t in zip(axes, targets):
+                for v, w in t.items():
+                    at = values == v
+                    for _ in range(60):  # scales until the sum is right, in spite of those at their bound
+                        now = (np.minimum(1, p[at]) * n[at]).sum()
+                        if now == 0 or abs(now / (w * keep * n.sum()) - 1) < 1e-12:
+                            break
+                        p[at] *= w * keep * n.sum() / now
+            q = np.minimum(1, p)
+            off = max(abs((q * n)[values == v].sum() / (q * n).sum() - w) for values, t in zip(axes, targets) for v, w in t.items())
+            if off < 1e-9:
+                break
+        if off < 1e-6:
+            lo, best = keep, q
+            if not step:
+                break
+        elif step:
+            hi = keep
+    return n, best
 
 
 def test_mix(spark, hard, empty, sf_dir):
-    rows = mixing.mix(hard, queries.mix_plan())
-    assert rows.count() == hard.count() and rows.columns[: len(hard.columns)] == hard.columns
-    assert all(r.mix_sampled == (r.mix_sampled and r.mix_probability > 0) for r in rows.collect())
-    assert mixing.mix(empty, queries.mix_plan()).count() == 0
-    got = queries.op5_mix(spark, sf_dir).collect()
-    again = queries.op5_mix(spark, sf_dir).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, again)) and len(got) == 200
-    total = sum(r.mix_tokens for r in got)
-    assert abs(sum(r.mix_tokens * r.mix_probability for r in got) / total - 0.6) < 1e-6
-    cells = defaultdict(int)
-    for d in queries.documents(spark, sf_dir).collect():
-        cells[d.doc_id] = len(d.text.split())
-    assert all(r.mix_tokens == cells[r.doc_id] for r in got)
+    rows, prefix = queries.mixed(hard)
+    assert prefix == "_mix_" and rows.count() == hard.count() and rows.columns[: len(hard.columns)] == hard.columns
+    assert {tuple(r) for r in rows.select("doc_id", "mix_cell", "topic").distinct().collect()} == {tuple(r) for r in hard.select("doc_id", "mix_cell", "topic").distinct().collect()}
+    plain = mixing.mix(hard, mixing.Mix({"lang": {"en": 0.5, "de": 0.5}}))  # columns of the added names are replaced
+    assert plain.count() == hard.count() and plain.columns.count("mix_cell") == 1
+    assert mixing.mix(empty, mixing.Mix({"lang": {"en": 0.5, "de": 0.5}})).count() == 0 and queries.mixed(empty)[0].count() == 0
+    got = queries.op5_mix(spark, "/root/testdata/sf0.01").collect()
+    again = queries.op5_mix(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again)) and len(got) == 1000
+    docs = {d.doc_id: d for d in queries.documents(spark, "/root/testdata/sf0.01").collect()}
+    cells = {r.doc_id: json.loads(r.mix_cell) for r in got}
+    order = sorted(docs)
+    n, chance = mix_brute([(i, docs[i].source, docs[i].lang, docs[i].text) for i in order], [cells[i][2] for i in order], queries.MIX)
+    by = {r.doc_id: r for r in got}
+    assert [by[i].mix_tokens for i in order] == n.tolist()
+    assert all(cells[i][:2] == [docs[i].source, docs[i].lang] for i in order)
+    assert np.abs(np.array([by[i].mix_probability for i in order]) - chance).max() < 2e-3
+    # the named targets are met by what is expected to stay
+    kept = np.array([by[i].mix_probability for i in order]) * n
+    for axis, d in enumerate(("source", "lang")):
+        for name, want in queries.MIX.targets[d].items():
+            assert abs(kept[[cells[i][axis] == name for i in order]].sum() / kept.sum() - want) < 1e-3
+
+
+def test_names_that_look_like_cells(spark):
+    rows = [(i, "w " * (i % 7 + 1), ["a/b", "a"][i % 2], ["c", "b/c"][i // 2 % 2], 1) for i in range(40)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n int"), mixing.Mix({"source": {"a/b": 0.5, "a": 0.5}, "lang": {"c": 0.5, "b/c": 0.5}}))
+    assert {r.mix_cell for r in got.collect()} == {json.dumps([s, x]) for s in ("a/b", "a") for x in ("c", "b/c")}
+
+
+def test_topics_by_shape(spark, empty):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghäß") for _ in range(rng.randrange(2, 9)))
+    rows = [(i, " ".join(word() for _ in range(80))) for i in range(60)]
+    rows += [(100 + i, "\n".join(f"{rng.random():.3f} | {rng.random():.3f} | {i}" for _ in range(20))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = topics.fit(docs, 2)
+    got = {r.doc_id: r.t for r in topics.assign(docs, model, "t", "n").collect()}
+    assert all(got[i] == ("t0" if i < 100 else "t1") for i in got)
+    assert topics.assign(empty, topics.fit(empty, 3), "t", "n").count() == 0
+    assert [topics.words(np.frombuffer(t.encode(), np.uint8)) for t in ("", " ", "a", " a b\n", "é\x0bü")] == [0, 0, 1, 2, 2]
 
 
 # ---- 6
@@ -344,6 +428,12 @@ RECORDS = [
     ('{"answer": "a", "question": "q"}', [("user", "q"), ("assistant", "a")]),
     ('{"role": null, "text": null}', [("", "")]),
     ('{"other": 1}', None),
+    ('{"role": "user", "text": true}', None),
+    ('{"messages[].role": "user", "messages[].content": "q"}', None),
+    ('{"messages": []}', None),
+    ("[" * 100_000, None),
+    ('{"role": "\\ud800", "text": "x"}', None),
+    ('{"\\ud800": 1}', None),
     ("[1]", None),
     ("no", None),
     (None, None),
@@ -510,6 +600,7 @@ def test_language_of_hard_documents(spark, hard, empty):
         letters = any(c.isalpha() for c in r.text or "")
         assert (r.lang_pred == "und") == (not letters) and (r.lang_score == 0) == (not letters)
     assert langid.predict(empty, langid.train(empty)).count() == 0
+    assert [langid.has_letter(t) for t in ("²", "½ ① 7 _", "Ⅷ", "7a", "日", "", None)] == [False, False, False, True, True, False, False]
     assert {r.lang_pred for r in langid.predict(hard, langid.train(empty)).collect()} == {"und"}
 
 

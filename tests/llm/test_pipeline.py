@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline as cp
-from reqweave.llm import mixing, queries
+from reqweave.llm import queries
 from tests.llm.test_near_duplicates import near_brute
 from tests.llm.test_operators import SCHEMA, hard_docs, lines_brute
 
@@ -52,7 +52,7 @@ def test_near_stage(stages):
 
 def test_mix_stage(stages, spark):
     docs, after = stages[3]
-    mixed = mixing.mix(docs, queries.mix_plan()).collect()
+    mixed = queries.mixed(docs)[0].collect()
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in mixed if r.mix_sampled}
     share = sum(r.mix_tokens for r in mixed if r.mix_sampled) / sum(r.mix_tokens for r in mixed)
     assert abs(share - queries.MIX.keep) < 0.15
