@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqweave.llm import langid, line_dedup, mixing, near_duplicates, queries
-from reqweave.llm.work import Work, columns
+from reqweave.llm import langid, line_dedup, near_duplicates, queries
+from reqweave.llm.work import Work, columns, fresh
 
 #: A text is rejected if it has no letters or no language gets this share (a guess among four gets 0.25).
 MIN_SCORE = 0.3
@@ -22,8 +22,9 @@ WORDS, SIMILARITY = 5, 0.8
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a learned language; null and letterless texts go. Learns from labelled rows of ``docs``."""
-    judged = langid.predict(docs, langid.train(docs))
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MIN_SCORE)).select(*columns(docs))
+    pred, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
+    judged = langid.predict(docs, langid.train(docs), pred_col=pred, score_col=score)
+    return judged.where((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*columns(docs))
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled by calibrated probabilities."""
-    return mixing.mix(docs, queries.mix_plan()).where("mix_sampled").select(*columns(docs))
+    rows, prefix = queries.mixed(docs)
+    return rows.where(F.col(f"{prefix}sampled")).select(*columns(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
