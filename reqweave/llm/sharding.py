@@ -1,12 +1,12 @@
 """Sharding by a k-d tree over metadata, its cuts at weighted medians.
 
-The tree's root holds all rows. A node that must become k shards is cut along
-its widest dimension (widest in proportion to the root's width), so that the
-lower side holds floor(k/2)/k of its bytes, until every leaf holds the bytes
-of one shard. All nodes of a level are cut together. A cut is found by
-histograms: bins of the key between the node's bounds, summed on the map
-side, then bins of the bin that the median falls into, until that bin is lighter
-than the tolerance or holds one row. Rows never move for this; only sums do.
+The tree's points are the distinct texts, each with the bytes of all its rows and the metadata of its least id; a text
+whose rows are more than a small part of a shard is several points. The root holds all points. A node that must
+become k shards is cut along its widest dimension (in ranks of the values that occur, in proportion to the root's), so that the
+lower side holds floor(k/2)/k of its bytes, until every leaf holds the bytes of one shard. All nodes of a level
+are cut together: points carry their node and meet the level's table (node, dimension, cut). A cut is found by
+histograms: bins of the key between the node's bounds, summed on the map side, then bins of the bin that the
+median falls into, until that bin is lighter than the tolerance or holds one point. Points never move for this; only sums do.
 """
 
 from __future__ import annotations
@@ -21,8 +21,13 @@ from .work import Work
 
 BINS = 1 << 15  # of all nodes of a level together
 TOLERANCE = 0.001  # of a shard's target, the weight of the bin that a cut may fall beside
+GROUP = 0.05  # of a shard's target, up to which the rows of one text stay together
 ROW_BYTES = 16
-TIE_BITS = 20
+TIE_BITS = 32
+#: Levels after which the points are written with their nodes.
+LEVELS = 4
+#: Distinct values of a dimension, and large groups, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_VALUES = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -30,17 +35,6 @@ def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long")
 
 
-def string_key(c: Column) -> Column:
-    """The first four bytes as an integer: it orders strings as they are ordered (by bytes), null first."""
-    hexed = F.rpad(F.substring(F.hex(F.coalesce(c, F.lit("")).cast("binary")), 1, 8), 8, "0")
-    return F.conv(hexed, 16, 10).cast("long")
-
-
-def number_key(c: Column) -> Column:
-    """A number cut to 0 to 2^32 - 1, null as 0."""
-    return F.least(F.greatest(F.coalesce(c.cast("long"), F.lit(0)), F.lit(0)), F.lit((1 << 32) - 1))
-
-
 def kd_shards(
     docs: DataFrame,
     target_bytes: int | None = None,
@@ -51,57 +45,94 @@ def kd_shards(
 ) -> DataFrame:
     """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Give the bytes of a shard, or the number of shards. ``dims`` maps names to
-    integer keys of 32 bits; by default language, source and characters. The law is
-    ``bytes``: shards' sizes are equal but for the tolerance and for single
-    rows larger than a cut can place. Rows with equal keys are told apart by the
-    checksum of their texts, then by a hash of their ids, so a value that a third of
-    the rows share is cut like any other. ``slot`` counts a shard's rows from 0
-    without gaps, in order of id (null ids first). ``grown_shard`` is null: under
-    this law one more shard moves rows everywhere. Null texts have no bytes;
+    Give the bytes of a shard, or the number of shards. ``dims`` maps names to columns of any type that
+    can be ordered; by default language, source (reversed, so hosts of a domain are neighbours) and characters. Their values count by
+    rank, null first, whatever their length or size. The law is ``bytes``: shards' sizes are equal but for the
+    tolerance, for single rows larger than a cut can place, and for groups: rows with equal texts are in one shard,
+    unless they are more than ``GROUP`` of a shard, in which case they are cut by hashes of their ids like other rows. Values that
+    many rows share are cut too: points with equal values are in the order of their texts' hashes. ``slot`` counts a shard's rows
+    from 0 without gaps, in order of id (null ids first). ``grown_shard`` is null: under
+    this law one more shard moves rows everywhere. Null texts have no bytes (and are a group with empty ones);
     an empty table gives an empty result; some shards stay empty if there are fewer
-    rows than shards; further columns are read only by ``dims``.
+    points than shards; further columns are read only by ``dims``.
     """
     if (target_bytes is None) == (n_shards is None):
         raise ValueError("give target_bytes or n_shards")
     work = Work(docs.sparkSession, "shards")
-    dims = dims or {
-        "lang": string_key(F.col("lang")),
-        "source": string_key(F.reverse(F.col("source"))),
-        "chars": number_key(F.char_length(text_col)),
-    }
-    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    tie = F.shiftleft(F.shiftright(crc, 20), 8).bitwiseOR(F.pmod(F.xxhash64(id_col, text_col), F.lit(256)))
-    # a key: 32 bits of the dimension, 12 of the text's checksum, 8 of a hash of the row
+    dims = dims or {"lang": F.col("lang"), "source": F.reverse(F.col("source")), "chars": F.char_length(text_col)}
+    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = work.save(
         docs.select(
             F.col(id_col).alias("id"),
             size_of(F.col(text_col)).alias("size"),
-            crc.alias("crc"),
-            *[F.shiftleft(k, TIE_BITS).bitwiseOR(tie).alias(f"k{i}") for i, k in enumerate(dims.values())],
+            F.crc32(text.cast("binary")).alias("crc"),
+            F.xxhash64(text).alias("h1"),
+            F.xxhash64(F.lit("#"), text).alias("h2"),
+            *[c.alias(f"d{i}") for i, c in enumerate(dims.values())],
         ),
         "rows",
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
     leaves = n_shards or max(1, math.ceil(total / target_bytes))
-    shard = _tree(rows, len(dims), leaves, total)
-    return _numbered(work, rows.select("id", "size", "crc", shard.alias("shard")), id_col)
-
+    points, rows = _points(work, rows, len(dims), max(1.0, GROUP * total / leaves))
+    placed = work.save(_tree(work, points, len(dims), leaves, total).select("h1", "h2", "piece", "shard"), "placed")
+    shards = rows.select("id", "size", "crc", "h1", "h2", "piece").join(placed.hint("merge"), ["h1", "h2", "piece"])
+    return _numbered(work, shards.select("id", "size", "crc", "shard"), id_col)
+
+
+def _points(work: Work, rows: DataFrame, n_dims: int, most: float) -> tuple[DataFrame, DataFrame]:
+    """Points (h1, h2, piece, size, k0 ...) of ``most`` bytes, about, and ``rows`` with the piece of the text that each is in."""
+    heavy = rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most)
+    heavy = work.save(heavy.select("h1", "h2", F.ceil(F.col("bytes") / most).alias("pieces")), "heavy")
+    heavy = F.broadcast(heavy) if heavy.count() <= BROADCAST_VALUES else heavy.hint("merge")  # 1 / GROUP for each shard at most
+    piece = F.coalesce(F.pmod(F.xxhash64("id", "d0"), F.col("pieces")), F.lit(0)).cast("long")
+    rows = rows.join(heavy, ["h1", "h2"], "left").withColumn("piece", piece).drop("pieces")
+    values = [f"d{i}" for i in range(n_dims)]
+    first = F.min_by(F.struct(*values), F.struct(F.col("id").isNull(), "id")).alias("of")
+    points = rows.groupBy("h1", "h2", "piece").agg(F.sum("size").alias("size"), first)
+    points = work.save(points.select("h1", "h2", "piece", "size", *[F.col(f"of.{d}").alias(d) for d in values]), "points0")
+    tie = F.pmod(F.xxhash64("h1", "h2", "piece"), F.lit(1 << TIE_BITS))
+    for i, d in enumerate(values):
+        # null sorts first by the flag
+        ranks = work.save(_ranked(work, points.select(F.col(d).isNotNull().alias("there"), d).distinct(), ["there", d], f"values{i}"), f"ranks{i}")
+        table = F.broadcast(ranks) if ranks.count() <= BROADCAST_VALUES else ranks.hint("merge")
+        table = table.select(F.col("there").alias("_there"), F.col(d).alias("_value"), "rank")
+        points = points.withColumn("there", F.col(d).isNotNull())
+        joined = points.join(table, (F.col("there") == F.col("_there")) & F.col(d).eqNullSafe(F.col("_value")))
+        points = joined.withColumn(f"k{i}", F.shiftleft("rank", TIE_BITS).bitwiseOR(tie)).drop("there", "_there", "_value", "rank")
+    kept = points.select("h1", "h2", "piece", "size", *[f"k{i}" for i in range(n_dims)], F.lit(1).cast("long").alias("node"))
+    return work.save(kept, "points"), rows
+
+
+def _ranked(work: Work, values: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``values`` with the column rank, from 0 in the order of ``by``."""
+    laid = _laid(work, values, by, name)
+    sizes = laid.groupBy("part").agg(F.count("*").alias("n")).collect()  # one row for each partition
+    before, total = {}, 0
+    for r in sorted(sizes, key=lambda r: r["part"]):
+        before[r["part"]], total = total, total + r["n"]
+    start = F.element_at(F.create_map(*[F.lit(x) for p, n in before.items() for x in (p, n)]), F.col("part")) if before else F.lit(0)
+    return laid.select(*values.columns, (F.col("pos") + start).cast("long").alias("rank"))
+
+
+def _laid(work: Work, rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``rows`` sorted over all partitions, with each one's partition and its place in it."""
+    parts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = F.monotonically_increasing_id()
+    ordered = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    return work.save(ordered.select("*", F.shiftright(placed, 33).alias("part"), placed.bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")), name)
 
-def _tree(rows: DataFrame, n_dims: int, leaves: int, total: int) -> Column:
-    """The shard of a row, as an expression over its keys.
 
-    The driver holds one row for each inner node, so at most ``leaves`` of them.
-    """
-    cuts: dict[int, tuple[int, int]] = {}  # node -> dimension, cut: keys up to the cut go left
+def _tree(work: Work, points: DataFrame, n_dims: int, leaves: int, total: int) -> DataFrame:
+    """``points`` with the column shard. The driver holds one row for each node of a level, so at most ``leaves`` of them."""
+    spark = work.spark
+    keys = F.array(*[F.col(f"k{i}") for i in range(n_dims)])
     first: dict[int, tuple[int, int]] = {1: (0, leaves)}  # node -> first shard, shards
-    level, spans = [1], None
+    level, spans, depth = [1], None, 0
     while level := [n for n in level if first[n][1] > 1]:
-        node = _node(cuts, level)
-        bounds = rows.withColumn("node", node).where("node > 0").groupBy("node")
-        bounds = bounds.agg(
-            F.sum("size").alias("bytes"), *[f(f"k{i}").alias(f"{n}{i}") for i in range(n_dims) for n, f in (("lo", F.min), ("hi", F.max))]
-        ).collect()
+        inner = spark.createDataFrame([(n,) for n in level], "node long")
+        bounds = points.join(F.broadcast(inner), "node").groupBy("node")
+        bounds = bounds.agg(F.sum("size").alias("bytes"), *[f(f"k{i}").alias(f"{x}{i}") for i in range(n_dims) for x, f in (("lo", F.min), ("hi", F.max))]).collect()
         open_, goal = {}, {}
         for b in bounds:
             width = [(b[f"hi{i}"] >> TIE_BITS) - (b[f"lo{i}"] >> TIE_BITS) for i in range(n_dims)]
@@ -110,63 +141,45 @@ def _tree(rows: DataFrame, n_dims: int, leaves: int, total: int) -> Column:
             k = first[b["node"]][1]
             open_[b["node"]] = (d, b[f"lo{d}"], b[f"hi{d}"])
             goal[b["node"]] = b["bytes"] * (k // 2) / k
-        found = _medians(rows, node, open_, goal, TOLERANCE * total / leaves)
+        found = _medians(points, keys, open_, goal, TOLERANCE * total / leaves)
         below = []
         for n in level:
             at, k = first[n]
-            cuts[n] = (open_[n][0], found[n]) if n in open_ else (0, 0)
             first[2 * n], first[2 * n + 1] = (at, k // 2), (at + k // 2, k - k // 2)
             below += [2 * n, 2 * n + 1]
-        level = below
-    return _walk(cuts, 1, lambda n: F.lit(first[n][0])).cast("int")
-
-
-def _walk(cuts: dict, n: int, leaf) -> Column:
-    if n not in cuts:
-        return leaf(n)
-    d, cut = cuts[n]
-    return F.when(F.col(f"k{d}") <= cut, _walk(cuts, 2 * n, leaf)).otherwise(_walk(cuts, 2 * n + 1, leaf))
-
-
-def _node(cuts: dict, level: list[int]) -> Column:
-    """The node of this level that a row is in, or 0."""
-    wanted = set(level)
-    return _walk(cuts, 1, lambda n: F.lit(n if n in wanted else 0))
-
-
-def _pick(node: str, of: dict, i: int) -> Column:
-    pairs = [F.lit(x) for n, v in of.items() for x in (n, v[i])]
-    return F.element_at(F.create_map(*pairs), F.col(node))
-
-
-def _medians(rows: DataFrame, node: Column, open_: dict, goal: dict, tolerance: float) -> dict[int, int]:
-    """For each node, the key up to which its rows hold ``goal`` bytes, as near as may be."""
-    found: dict[int, int] = {}
+        if open_:
+            cuts = spark.createDataFrame([(n, open_[n][0], found[n]) for n in open_], "node long, d int, cut long")
+            side = F.when(F.element_at(keys, F.col("d") + 1) <= F.col("cut"), F.col("node") * 2).otherwise(F.col("node") * 2 + 1)
+            below_it = F.when(F.col("d").isNull(), F.col("node")).otherwise(side)
+            points = points.join(F.broadcast(cuts), "node", "left").withColumn("node", below_it).drop("d", "cut")
+        level, depth = below, depth + 1
+        if depth % LEVELS == 0:
+            points = work.save(points, f"level{depth}")
+            work.drop(f"level{depth - LEVELS}")
+    shards = spark.createDataFrame([(n, at) for n, (at, k) in first.items() if k == 1], "node long, shard int")
+    return points.join(F.broadcast(shards), "node")
+
+
+def _medians(points: DataFrame, keys: Column, open_: dict, goal: dict, tolerance: float) -> dict[int, int]:
+    """For each node, the key up to which its points hold ``goal`` bytes, as near as may be."""
+    spark, found = points.sparkSession, {}
     before = dict.fromkeys(open_, 0)  # bytes below the bin that is open
     while open_:
         bins = max(16, BINS // len(open_))
-        step = {n: (d, lo, -(-(hi - lo + 1) // bins)) for n, (d, lo, hi) in open_.items()}
-        inside = {n: (d, lo, hi) for n, (d, lo, hi) in open_.items()}
-        key = F.element_at(F.array(*[F.col(f"k{i}") for i in range(sum(c.startswith("k") for c in rows.columns))]), _pick("node", {n: (v[0] + 1,) for n, v in open_.items()}, 0))
-        hist = (
-            rows.withColumn("node", node)
-            .where(F.col("node").isin(list(open_)))
-            .withColumn("key", key)
-            .where(F.col("key").between(_pick("node", inside, 1), _pick("node", inside, 2)))
-            .withColumn("bin", F.floor((F.col("key") - _pick("node", step, 1)) / _pick("node", step, 2)).cast("long"))
-            .groupBy("node", "bin")
-            .agg(F.sum("size").alias("w"), F.count("*").alias("n"))
-        )
+        step = {n: -(-(hi - lo + 1) // bins) for n, (_, lo, hi) in open_.items()}
+        table = [(n, d, lo, hi, step[n], float(goal[n] - before[n])) for n, (d, lo, hi) in open_.items()]
+        inside = points.join(F.broadcast(spark.createDataFrame(table, "node long, d int, lo long, hi long, step long, rest double")), "node")
+        inside = inside.withColumn("key", F.element_at(keys, F.col("d") + 1)).where("key between lo and hi")
+        hist = inside.groupBy("node", F.expr("(key - lo) div step").alias("bin")).agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.first("rest").alias("rest"))
         run = hist.withColumn("upto", F.sum("w").over(W.partitionBy("node").orderBy("bin")))
-        rest = F.element_at(F.create_map(*[F.lit(x) for n in open_ for x in (n, float(goal[n] - before[n]))]), F.col("node"))
-        hit = run.where(F.col("upto") >= rest).groupBy("node").agg(F.min_by(F.struct("bin", "w", "n", "upto"), "bin").alias("b"))
+        hit = run.where("upto >= rest").groupBy("node").agg(F.min_by(F.struct("bin", "w", "n", "upto"), "bin").alias("b"))
         hits = {r["node"]: r["b"] for r in hit.collect()}
         still = {}
         for n, (d, lo, hi) in open_.items():
-            if n not in hits:  # rounding: the goal lies past the last row
+            if n not in hits:  # rounding: the goal lies past the last point
                 found[n] = hi
                 continue
-            b, width = hits[n], step[n][2]
+            b, width = hits[n], step[n]
             left, right = lo + b["bin"] * width, min(hi, lo + (b["bin"] + 1) * width - 1)
             under = before[n] + b["upto"] - b["w"]
             if b["n"] == 1 or width == 1 or b["w"] <= tolerance:
@@ -179,19 +192,12 @@ def _medians(rows: DataFrame, node: Column, open_: dict, goal: dict, tolerance:
 
 def _numbered(work: Work, rows: DataFrame, id_col: str) -> DataFrame:
     """Slots: rows sorted over all partitions by shard and id, each partition's offsets from the counts before it."""
-    spark = work.spark
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = F.monotonically_increasing_id()
-    laid = work.save(
-        rows.repartitionByRange(parts, "shard", "id")
-        .sortWithinPartitions("shard", "id")
-        .select("*", F.shiftright(placed, 33).alias("part"), placed.bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")),
-        "laid",
-    )
+    laid = _laid(work, rows, ["shard", "id"], "laid")
     # a row for each partition and shard in it: partitions + shards at most
     runs = laid.groupBy("part", "shard").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     upto = F.sum("n").over(W.partitionBy("shard").orderBy("part")) - F.col("n")
-    runs = runs.select("part", "shard", (upto - F.col("first")).alias("shift"))
+    runs = work.save(runs.select("part", "shard", (upto - F.col("first")).alias("shift")), "runs")
+    work.keep_only("laid", "runs")
     return laid.join(F.broadcast(runs), ["part", "shard"]).select(
         F.col("id").alias(id_col),
         "size",

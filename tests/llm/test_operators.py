@@ -205,6 +205,18 @@ def test_shards(spark, hard, empty, sf_dir):
         sharding.kd_shards(hard)
 
 
+def test_equal_texts_share_a_shard(spark):
+    docs = queries.documents(spark, "/root/testdata/sf0.01")
+    texts, where, size = {r.doc_id: r.text for r in docs.collect()}, defaultdict(set), defaultdict(int)
+    rows = sharding.kd_shards(docs, n_shards=8).collect()
+    for r in rows:
+        where[texts[r.doc_id]].add(r.shard)
+        size[texts[r.doc_id]] += r.size
+    small = [t for t in where if size[t] <= sharding.GROUP * sum(size.values()) / 8]
+    assert len(small) < len(rows) and all(len(where[t]) == 1 for t in small)
+    check_shards(rows, 8, 2 * max(size[t] for t in small))
+
+
 def test_shards_of_one_hot_value(spark):
     same = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
     rows = sharding.kd_shards(same, n_shards=8).collect()
@@ -212,6 +224,42 @@ def test_shards_of_one_hot_value(spark):
     assert len({r.shard for r in sharding.kd_shards(same, target_bytes=6000 * 25 // 3).collect()}) == 3
 
 
+def tree_brute(points, n_dims, first, leaves, spans=None):
+    """(point, shard) of points (size, keys): plain recursion over sorted lists."""
+    if leaves == 1 or not points:
+        return [(p, first) for p in points]
+    width = [max(k[i] >> 32 for _, k in points) - min(k[i] >> 32 for _, k in points) for i in range(n_dims)]
+    spans = spans or width
+    d = max(range(n_dims), key=lambda i: width[i] / max(1, spans[i]))
+    points = sorted(points, key=lambda p: p[1][d])
+    goal, upto, cut = sum(p[0] for p in points) * (leaves // 2) / leaves, 0, 0
+    while cut < len(points) and upto < goal:
+        upto, cut = upto + points[cut][0], cut + 1
+    if cut and upto - goal > goal - (upto - points[cut - 1][0]):
+        cut -= 1
+    half = leaves // 2
+    return tree_brute(points[:cut], n_dims, first, half, spans) + tree_brute(points[cut:], n_dims, first + half, leaves - half, spans)
+
+
+def test_cuts_are_weighted_medians(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TOLERANCE", 0)
+    monkeypatch.setattr(sharding, "BINS", 64)
+    rng = random.Random(12)
+    pick = lambda n: None if rng.random() < 0.1 else f"com.shared.prefix.{rng.randrange(n)}"
+    rows = [(i, "x" * rng.randrange(300) + str(rng.randrange(250)), pick(3), pick(60), rng.choice([None, 1 << 40, -5, i])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, extra long")
+    for leaves in (2, 7, 16):
+        w = work.Work(spark, "test")
+        laid = docs.select(F.col("doc_id").alias("id"), sharding.size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("#"), "text").alias("h2"), F.col("lang").alias("d0"), F.col("source").alias("d1"), F.col("extra").alias("d2"))
+        points, _ = sharding._points(w, laid, 3, 1e9)
+        got = sharding._tree(w, points, 3, leaves, 1).collect()
+        want = dict(tree_brute([(r.size, (r.k0, r.k1, r.k2)) for r in points.collect()], 3, 0, leaves))
+        assert {(r.size, (r.k0, r.k1, r.k2)): r.shard for r in got} == want and len(got) == len(want) > leaves
+        for i, values in enumerate(("lang", "source", "extra")):  # ranks follow the values
+            of = sorted({(r[values] is not None, r[values] or 0) for r in docs.collect()}, key=str if i < 2 else None)
+            assert {r[f"k{i}"] >> 32 for r in points.collect()} <= set(range(len(of)))
+
+
 # ---- 4
 
 
