@@ -76,10 +76,10 @@ def split_oversize(chunks: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int
     return fits.unionByName(split.withColumn("sub_chunk_index", F.col("sub_chunk_index") + 1))
 
 
-def header_groups(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+def header_groups(chunks: DataFrame, key: str = "doc_id", count: Callable[[Column], Column] = tokens) -> DataFrame:
     """(key, header1, group_no, members, token_sum): sections by the text of their upper header, far apart or not."""
     return chunks.groupBy(key, F.coalesce("header1", F.lit("unknown")).alias("header1")).agg(
-        F.min("section_no").alias("group_no"), F.count("*").alias("members"), F.sum(tokens(F.col("content"))).alias("token_sum")
+        F.min("section_no").alias("group_no"), F.count("*").alias("members"), F.sum(count(F.col("content"))).alias("token_sum")
     )
 
 
@@ -95,18 +95,18 @@ def bins(sizes: Column, limit: int) -> Column:
     return F.aggregate(sizes, start, step, lambda acc: acc["ids"])
 
 
-def pack(chunks: DataFrame, key: str = "doc_id", max_tokens: int = MAX_TOKENS) -> DataFrame:
+def pack(chunks: DataFrame, key: str = "doc_id", max_tokens: int = MAX_TOKENS, count: Callable[[Column], Column] = tokens) -> DataFrame:
     """Chunks (key, section_no, header1, header2, content[, sub_chunk_index]) packed in order within their upper header.
 
     Gives key, header1, bin_no, content (members joined by a blank line), merged_from (lower headers, UNKNOWN for none), token_count (the
-    members' sum), chunk_count, and group_no, by which bins are ordered. Texts stay out of the fold that assigns bins.
+    members' sum by ``count``), chunk_count, and group_no, by which bins are ordered. Texts stay out of the fold that assigns bins.
     """
     sub = F.coalesce("sub_chunk_index", F.lit(0)) if "sub_chunk_index" in chunks.columns else F.lit(0)
     rows = chunks.select(
         F.col(key),
         F.coalesce("header1", F.lit("unknown")).alias("header1"),
         F.struct(
-            F.col("section_no").alias("at"), sub.alias("sub"), tokens(F.col("content")).alias("n"), "content", F.coalesce("header2", F.lit("UNKNOWN")).alias("h2")
+            F.col("section_no").alias("at"), sub.alias("sub"), count(F.col("content")).cast("long").alias("n"), "content", F.coalesce("header2", F.lit("UNKNOWN")).alias("h2")
         ).alias("m"),
     )
     groups = rows.groupBy(key, "header1").agg(F.array_sort(F.collect_list("m")).alias("ms"))
@@ -126,6 +126,6 @@ def pack(chunks: DataFrame, key: str = "doc_id", max_tokens: int = MAX_TOKENS) -
     )
 
 
-def optimise(sections: DataFrame, key: str = "doc_id", max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Sections to chunks: the oversize split, then all packed."""
-    return pack(split_oversize(sections, max_tokens), key, max_tokens)
+def optimise(sections: DataFrame, key: str = "doc_id", max_tokens: int = MAX_TOKENS, count: Callable[[Column], Column] = tokens) -> DataFrame:
+    """Sections to chunks: the oversize split, then all packed. ``count`` gives the tokens of a column of texts; by default they are estimated."""
+    return pack(split_oversize(sections, max_tokens, count=count), key, max_tokens, count)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import preview
+from ..functions.text import path_stem, preview
+from .files import export
 from .xlsx import XlsxDataSource
 
 #: The spreadsheet's columns, a fixed format.
@@ -47,5 +48,22 @@ def raw_responses(responses: DataFrame) -> DataFrame:
 
 
 def markdown(texts: DataFrame, path: str) -> None:
-    """Texts (doc_id, text) as Parquet, a folder per document; whole paths as keys, so equal file names don't overwrite each other."""
-    texts.write.mode("overwrite").partitionBy("doc_id").parquet(path)
+    """Texts (doc_id, text) as a Parquet table; whole paths are ids, so equal file names don't overwrite each other."""
+    texts.write.mode("overwrite").parquet(path)
+
+
+def markdown_files(texts: DataFrame, directory: str) -> DataFrame:
+    """Texts (doc_id, stem, text) as files <stem>.md; of equal stems the one with the greatest id is what is left. Gives (name, bytes)."""
+    last = texts.groupBy("stem").agg(F.max_by("text", "doc_id").alias("content"))
+    return export(last.select(F.concat("stem", F.lit(".md")).alias("name"), "content"), directory)
+
+
+def page_files(pages: DataFrame, directory: str) -> DataFrame:
+    """Pages (pdf, page_no, png) as files <pdf>/page_<number>.png. Gives (name, bytes)."""
+    name = F.concat(path_stem(F.col("pdf")), F.lit("/page_"), F.col("page_no").cast("string"), F.lit(".png"))
+    return export(pages.select(name.alias("name"), F.col("png").alias("content")), directory)
+
+
+def responses(answered: DataFrame, path: str) -> None:
+    """Responses (pdf, page_index, image, response) as JSON lines, which ``documents.saved_responses`` reads."""
+    json_rows(answered.select("pdf", "page_index", "image", "response"), path)

@@ -1,4 +1,4 @@
-"""A directory of Markdown files as a stream: new files are cleaned as they come."""
+"""A directory of Markdown files as a stream: new files are cleaned, or turned into requirements, as they come."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import clean
+from ..config import EngineConfig
+from ..operators import clean, generate
+from ..plans import extraction
 from ..sources import documents
 
 
@@ -27,3 +29,17 @@ def clean_stream(spark: SparkSession, directory: str, out: str, checkpoint: str)
         clean.block_text(kept).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return markdown_stream(spark, directory).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def extract_stream(
+    spark: SparkSession, directory: str, backend: generate.Backend, out: str, cache_path: str, checkpoint: str, config: EngineConfig = EngineConfig()
+) -> StreamingQuery:
+    """Writes the requirements of each file: cleaned, chunked, asked and parsed, a batch of files at a time.
+
+    A repeated batch overwrites its folder, and asks only for responses that the cache has not.
+    """
+
+    def batch(docs: DataFrame, number: int) -> None:
+        extraction.extract(docs, backend, cache_path, config).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return markdown_stream(spark, directory).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
