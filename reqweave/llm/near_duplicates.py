@@ -1,16 +1,14 @@
 """SimHash near-deduplication for a similarity of shingle sets.
 
-The fingerprints and the Gray-order index of ``simhash`` find candidates, and every link is verified on the whole
+The fingerprints and the Gray-order index of ``simhash`` find what is close, and every link is verified on the whole
 sets, so nothing below the limit is linked. At a similarity of 0.8 fingerprints differ in about 15 % of their
 bits (up to 19 % for texts of a few words), too many for masks that catch every pair for certain: upper nodes are the patterns under
 as many masks as make it ``RECALL`` likely that a pair at the limit agrees on one of them, below them
 Gray-sorted leaves are compared as in ``simhash``. More similar pairs are missed less often still.
 
-Large groups of copies: in a round each text proposes one candidate only, the close one that a hash of the round puts
-first, so the texts of a group mostly propose the same one and are one component afterwards. Only texts that have
-close ones in other components go on into the next round; the last round takes every pair that is left.
-Nodes with more fingerprints than ``cap`` are first compared with a few of their members, later, when
-most of a node is one component, the others with each other and with it, in pairs of blocks.
+Fingerprints that are close, directly or through others, are a cluster; a node gives the links of a spanning forest, never all
+pairs. Within a cluster texts are verified in pairs of blocks of bounded size: a task holds the sets of two blocks,
+and compares those that are close and not in one component yet by counts of common bits, so again only links of a forest come out.
 """
 
 from __future__ import annotations
@@ -21,22 +19,21 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .simhash import SEED, close_pairs
+from .simhash import SEED, _paired, _union, close_pairs
 from .work import Work, lean, may_hold, slices
 
-BITS = 128
-#: Share of bits that differ at the limit (0.8), at worst, and the radius that all but a few pairs at the limit are within.
-DIFFER, RADIUS, RECALL = 0.19, 36, 0.995
+BITS, FS = 256, ["f0", "f1", "f2", "f3"]
+#: Share of bits that differ at the limit (0.8), at worst, and the radius that all but a few pairs at the limit are within:
+#: 8 standard deviations below what unlike texts differ in, so clusters don't grow together by chance.
+DIFFER, RADIUS, RECALL = 0.19, 64, 0.995
 #: Fingerprints of a node, about (a power of two), and at most where a node is compared at once.
 NODE, CAP = 1024, 16384
-#: Rounds in which each text proposes one candidate; a further round takes all that is left. Members that large nodes are compared with.
-ROUNDS, PIVOTS = 4, 4
-#: All pairs are taken as soon as no more than this for each fingerprint are left.
-LEFT = 4
+#: Shingles of a block of texts, about.
+BLOCK = 1 << 17
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -56,33 +53,46 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return found[np.unique(found[:, 0], return_index=True)[1]]
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0x9FB21C651E98DF25)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(32))
+
+
 def fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """The SimHash of a set of hashes, as two 64-bit words: a bit is set if it is in over half of them."""
+    """The SimHash of a set of hashes, as four 64-bit words: a bit is set if it is in over half of them.
+
+    The second half of a hash's 256 bits is made of the first by mixing.
+    """
     total = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 15):
-        total += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    wide = np.concatenate([hashes, _mixed(hashes)], axis=1)
+    for at in range(0, len(wide), 255):  # as many as a byte can count
+        total += np.add.reduce(np.unpackbits(wide[at : at + 255].view(np.uint8), axis=1), axis=0, dtype=np.uint8)
     return np.packbits(total * 2 > len(hashes)).view(np.uint64)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, text, s0, s1, f0, f1): the digest of a text's set, and its fingerprint."""
+    """(id, text, n, s0, s1, f0 ...): the size and the digest of a text's set, and its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in slices(batches, 1024):
-            sets = [shingle_hashes(t.as_py(), words) for t in batch.column(1)]
-            d = np.stack([np.frombuffer(xxhash.xxh128_digest(h[:, 0].tobytes()), np.int64) for h in sets])
-            f = np.stack([fingerprint(h) for h in sets]).view(np.int64)
-            cols = [pa.array(np.ascontiguousarray(c)) for c in (d[:, 0], d[:, 1], f[:, 0], f[:, 1])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], ["id", "text", "s0", "s1", "f0", "f1"])
+            sizes, digests, prints = [], [], []
+            for t in batch.column(1):
+                h = shingle_hashes(t.as_py(), words)
+                sizes.append(len(h))
+                digests.append(np.frombuffer(xxhash.xxh128_digest(h[:, 0].tobytes()), np.int64))
+                prints.append(fingerprint(h).view(np.int64))
+            cols = [pa.array(np.ascontiguousarray(c)) for c in (*np.stack(digests).T, *np.stack(prints).T)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), *cols], ["id", "text", "n", "s0", "s1", *FS])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lean(run), "id long, text string, s0 long, s1 long, f0 long, f1 long")
+    return rows.mapInArrow(lean(run), "id long, text string, n long, s0 long, s1 long, " + ", ".join(f"{f} long" for f in FS))
 
 
-def masks(n: int, node: int = NODE) -> list[tuple[int, int]]:
-    """The upper nodes' masks for n fingerprints, each as two signed words.
+def masks(n: int, node: int = NODE) -> list[tuple[int, ...]]:
+    """The upper nodes' masks for n fingerprints, each as signed words.
 
     A mask has about log2(n / node) bits, eight at least; there are as many masks as the recall takes, so
     what is compared grows as n to the power 1.3. Each draws on all bits in turn.
@@ -94,211 +104,167 @@ def masks(n: int, node: int = NODE) -> list[tuple[int, int]]:
         if len(deck) < width:
             deck = rng.permutation(BITS).tolist()
         bits, deck = deck[:width], deck[width:]
-        words = (sum(1 << (b & 63) for b in bits if b >> 6 == w) for w in (0, 1))
+        words = (sum(1 << (b & 63) for b in bits if b >> 6 == w) for w in range(BITS // 64))
         out.append(tuple(x - (1 << 64) if x >> 63 else x for x in words))
     return out
 
 
-def _rank(nid: np.ndarray, turn: int) -> np.ndarray:
-    """Numbers that order fingerprints anew in each round."""
-    h = nid.astype(np.uint64) + np.uint64((turn * 2 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xD6E8FEB86659FD93)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    return h ^ (h >> np.uint64(32))
-
-
-def _proposals(nid: np.ndarray, comp: np.ndarray, f: np.ndarray, node: np.ndarray, turn: int, every: bool) -> list[np.ndarray]:
-    """(a, b, rank of b, how many) for each fingerprint that has others of other components within the radius in its node; or ``every`` such pair."""
-    order, blocks = close_pairs(f, node, RADIUS)
-    nid, comp = nid[order], comp[order]
-    rank = _rank(nid, turn)
-    by_rank = np.argsort(rank)
-    place = np.empty(len(nid), np.int64)
-    place[by_rank] = np.arange(len(nid))
-    best, many, pairs = np.full(len(nid), len(nid)), np.zeros(len(nid), np.int64), []
-    for i, j in blocks:
-        apart = comp[i] != comp[j]
-        i, j = i[apart], j[apart]
-        if every:
-            pairs.append((i, j))
-            continue
-        for x, y in ((i, j), (j, i)):
-            np.minimum.at(best, x, place[y])
-            many += np.bincount(x, minlength=len(nid))
-    if every:
-        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*pairs) if pairs else ((), ())))
-        return [nid[i], nid[j], rank[j].view(np.int64), np.ones(len(i), np.int64)]
-    a = np.flatnonzero(many)
-    b = by_rank[best[a]]
-    return [nid[a], nid[b], rank[b].view(np.int64), many[a]]
-
-
-def _compare(turn: int, every: bool):
-    """Proposals from rows (node, nid, comp, f0, f1) that are sorted by node."""
-
-    def done(rows: list[np.ndarray]) -> pa.RecordBatch:
-        node, nid, comp, f0, f1 = rows
-        at = np.cumsum(np.r_[False, node[1:] != node[:-1]])
-        found = _proposals(nid, comp, np.stack([f0, f1], axis=1).view(np.uint64), at, turn, every)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "rank", "many"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            rows = [c.to_numpy() for c in batch.columns]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows)]
-            if not len(rows[0]):
-                continue
-            last = int(np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])[-1])  # the last node may go on in the next batch
-            held = [x[last:].copy() for x in rows]
-            if last:
-                yield done([x[:last] for x in rows])
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Rows sorted by their first columns, in pieces that hold whole groups of the first one. Binary columns stay Arrow arrays' objects."""
+    held = None
+    for batch in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if held is not None:
-            yield done(held)
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        if not len(rows[0]):
+            continue
+        last = int(np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])[-1])  # the last group may go on in the next batch
+        held = [x[last:].copy() for x in rows]
+        if last:
+            yield [x[:last] for x in rows]
+    if held is not None:
+        yield held
+
+
+def _links_of(nid: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    """Links of each fingerprint to the least number of its component, so many nodes give the same ones."""
+    least = nid.copy()
+    np.minimum.at(least, label, nid)
+    root = least[label]
+    moved = nid != root
+    return pa.RecordBatch.from_arrays([pa.array(nid[moved]), pa.array(root[moved])], ["a", "b"])
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of what is close in each node, from rows (node, nid, f0 ...) sorted by node."""
+    for node, nid, *fs in _grouped(batches):
+        order, blocks = close_pairs(np.stack(fs, axis=1).view(np.uint64), np.cumsum(np.r_[False, node[1:] != node[:-1]]), RADIUS)
+        label = np.arange(len(nid))
+        for i, j in blocks:
+            _union(label, i, j)
+        yield _links_of(nid[order], label)
+
+
+def _clusters(work: Work, fps: DataFrame, cap: int) -> DataFrame:
+    """(node: nid, root) of fingerprints (nid, f0 ...) that are close to others, directly or through others."""
+    parts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
+    under = [F.struct(F.lit(j).alias("m"), *[F.lit(x).cast("long").alias(f"m{w}") for w, x in enumerate(words)]) for j, words in enumerate(masks(fps.count()))]
+    pattern = F.xxhash64("u.m", *[F.col(f).bitwiseAND(F.col(f"u.m{w}")) for w, f in enumerate(FS)])
+    nodes = fps.withColumn("u", F.explode(F.array(*under))).select(pattern.alias("key"), "nid", *FS)
+    sizes = work.save(nodes.groupBy("key").count().where(F.col("count") > cap).select("key"), "sizes")
+
+    def compared(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lean(_close), "a long, b long")
+
+    if sizes.isEmpty():
+        links = compared(nodes)
+    else:
+        # a large node is mostly one cloud of copies: what is close to one of them, and the others in pairs of blocks
+        large = nodes.join(sizes, "key")
+        stars, pairs = _paired(large, ["key"], FS, RADIUS, cap)
+        units = pairs.select(F.xxhash64("key", "ua", "ub").alias("key"), "nid", *FS)
+        links = compared(nodes.join(sizes, "key", "left_anti")).unionByName(stars).unionByName(compared(units))
+    return components(work, links, "close")
+
+
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set, a bit for each member that several sets hold."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, number, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[number]
+    row, bit = np.repeat(np.arange(len(sets)), sizes)[keep], place[number[keep]]
+    out = np.zeros((len(sets), max(1, int(shared.sum()) + 63 >> 6)), np.uint64)
+    np.bitwise_or.at(out, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out
 
-    return run
 
+def _verified(limit: Fraction):
+    """Links of sets whose similarity reaches the limit, from rows (unit, side, nid, f0 ..., grams) sorted by unit.
 
-_PROPOSED = "a long, b long, rank long, many long"
-
-
-def _near(x: str, y: str) -> Column:
-    bits = [F.bit_count(F.col(f"{x}{f}").bitwiseXOR(F.col(f"{y}{f}"))) for f in ("f0", "f1")]
-    return bits[0] + bits[1] <= RADIUS
-
-
-def _large(work: Work, rows: DataFrame, sizes: DataFrame, turn: int, every: bool, cap: int, parts: int) -> DataFrame:
-    """Proposals in large nodes; ``sizes``: (node, n, major, top), with the component that most of a node is in."""
-    half = cap // 2
-    blocks = lambda c: F.ceil(c / half).cast("int")
-    others = F.col("n") - F.when(F.col("top") > 1, F.col("top")).otherwise(0)
-    few = (others <= half) | F.lit(every)
-    sized = sizes.select("node", "major", few.alias("few"), blocks(others).alias("bo"), blocks(F.col("n") - others).alias("bc"))
-    joined = rows.join(sized, "node").withColumn("other", (F.col("bc") == 0) | (F.col("comp") != F.col("major")))
-    # a few members of what is in no large component yet, and all close to them
-    open_ = joined.where("not few and other")
-    pick = [F.min_by(F.struct("nid", "comp", "f0", "f1"), F.xxhash64("nid", F.lit(SEED + PIVOTS * turn + i))) for i in range(PIVOTS)]
-    pivots = open_.groupBy("node").agg(F.array(*pick).alias("ps"))
-    met = open_.join(pivots, "node").select("nid", "comp", "f0", "f1", F.explode("ps").alias("p"))
-    met = met.where((F.col("comp") != F.col("p.comp")) & _near("", "p."))
-    # at least two a text, so it goes on into the next round
-    stars = met.select(F.col("nid").alias("a"), F.col("p.nid").alias("b"), F.xxhash64("p.nid", F.lit(turn)).alias("rank"), F.lit(2).cast("long").alias("many"))
-    # pairs of blocks: others with others, and with those of the large component
-    one = joined.where("few and bo > 0")
-    mine = F.pmod(F.xxhash64("nid"), F.when(F.col("other"), F.col("bo")).otherwise(F.col("bc"))).cast("int")
-    pair = lambda x, y: F.xxhash64("node", x, y)
-    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    among = F.transform(numbers(F.col("bo")), lambda j: pair(F.least("mine", j), F.greatest("mine", j)))
-    across = F.transform(numbers(F.col("bc")), lambda j: pair(F.col("mine"), -1 - j))
-    to_others = F.transform(numbers(F.col("bo")), lambda i: pair(i, -1 - F.col("mine")))
-    units = F.when(F.col("other"), F.concat(among, across)).otherwise(to_others)
-    dealt = one.withColumn("mine", mine).select(F.explode(units).alias("node"), "nid", "comp", "f0", "f1")
-    dealt = dealt.repartition(parts, "node").sortWithinPartitions("node")
-    return stars.unionByName(dealt.mapInArrow(lean(_compare(turn, every)), _PROPOSED))
-
-
-def _linked(limit: Fraction):
-    """Pairs (a, b) of rows (a, b, set a, set b) whose similarity reaches the limit."""
+    A unit with two sides is a pair of blocks: only texts of different sides meet in it.
+    """
     num, den = limit.numerator, limit.denominator
 
+    def unit(side: np.ndarray, nid: np.ndarray, fs: list[np.ndarray], grams: np.ndarray) -> pa.RecordBatch:
+        f = np.stack(fs, axis=1).view(np.uint64)
+        order, blocks = close_pairs(f, np.zeros(len(nid), np.int64), RADIUS)
+        side, nid, sets = side[order], nid[order], [np.frombuffer(grams[k], np.uint64) for k in order]
+        size, bits, label = np.fromiter(map(len, sets), np.int64, len(sets)), bitmaps(sets), np.arange(len(nid))
+        two = side.min() != side.max()
+        step = max(1, (1 << 21) // bits.shape[1])
+        for i, j in blocks:
+            ok = (label[i] != label[j]) & ((side[i] != side[j]) if two else True)
+            ok &= np.minimum(size[i], size[j]) * den >= np.maximum(size[i], size[j]) * num
+            i, j = i[ok], j[ok]
+            for k in range(0, len(i), step):
+                x, y = i[k : k + step], j[k : k + step]
+                both = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+                like = both * den >= num * (size[x] + size[y] - both)
+                _union(label, x[like], y[like])
+        return _links_of(nid, label)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512):
-            ok = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[k] = both * den >= num * (len(x) + len(y) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+        for unit_, side, nid, *rest in _grouped(b for b in slices(batches, 256)):
+            edges = np.flatnonzero(np.r_[True, unit_[1:] != unit_[:-1]])
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(unit_)]):
+                yield unit(side[a:b], nid[a:b], [x[a:b] for x in rest[:-1]], rest[-1][a:b])
 
     return run
 
 
-def _verified(work: Work, rows: DataFrame, pairs: DataFrame, words: int, limit: Fraction, name: str) -> DataFrame:
-    """The pairs whose sets reach the limit. Only texts of pairs move."""
+def _links(work: Work, rows: DataFrame, fps: DataFrame, words: int, limit: Fraction, cap: int, block: int) -> DataFrame:
+    """Links (a, b) among distinct sets, ``fps`` (nid, n, f0 ...); ``rows`` (nid, text) has their texts."""
+    parts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
+    roots = work.save(_clusters(work, fps.select("nid", *FS), cap), "clusters")
+    sized = roots.join(fps.select(F.col("nid").alias("node"), "n"), "node").groupBy("root").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    placed = roots.join(work.save(sized, "sized").hint("merge"), "root").select(F.col("node").alias("nid"), "root", "blocks")
+    placed = work.save(placed, "placed")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
             grams = pa.array([shingle_hashes(t.as_py(), words)[:, 0].tobytes() for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), grams], ["nid", "grams"])
 
-    met = work.save(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), f"{name}_met")
-    near = may_hold(rows, F.xxhash64("nid"), met.select(F.xxhash64("nid")), "may").where("may").join(met, "nid", "left_semi")
-    found = work.save(near.select("nid", "text").mapInArrow(lean(sets), "nid long, grams binary"), f"{name}_sets")
-    a, b = (found.select(F.col("nid").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
-    whole = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "ga", "gb")
-    links = work.save(whole.mapInArrow(lean(_linked(limit)), "a long, b long"), name)
-    work.drop(f"{name}_met", f"{name}_sets")
-    return links
-
-
-def _links(work: Work, rows: DataFrame, fps: DataFrame, words: int, limit: Fraction, cap: int) -> DataFrame | None:
-    """Links (a, b) among distinct sets, ``fps`` (nid, f0, f1); ``rows`` (nid, text) has their texts."""
-    parts = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
-    n = fps.count()
-    under = [F.struct(F.lit(j).alias("m"), F.lit(m0).cast("long").alias("m0"), F.lit(m1).cast("long").alias("m1")) for j, (m0, m1) in enumerate(masks(n))]
-    pattern = F.xxhash64("u.m", F.col("f0").bitwiseAND(F.col("u.m0")), F.col("f1").bitwiseAND(F.col("u.m1")))
-    now, links, every = fps.withColumn("comp", F.col("nid")), None, False
-    for turn in range(ROUNDS + 1):
-        every = every or turn == ROUNDS
-        nodes = now.withColumn("u", F.explode(F.array(*under))).select(pattern.alias("node"), "nid", "comp", "f0", "f1")
-        counts = nodes.groupBy("node", "comp").count() if turn else nodes.groupBy("node").count().withColumn("comp", F.lit(None).cast("long"))
-        top = F.max("count").alias("top") if turn else F.lit(1).cast("long").alias("top")
-        sizes = counts.groupBy("node").agg(F.sum("count").alias("n"), F.max_by("comp", "count").alias("major"), top)
-        sizes = work.save(sizes.where((F.col("n") > cap) & (F.col("top") < F.col("n"))), f"sizes{turn}")
-        small = nodes
-        if large := not sizes.isEmpty():
-            small = nodes.join(F.broadcast(sizes.select("node")) if sizes.count() < 100_000 else sizes.select("node"), "node", "left_anti")
-        dealt = small.repartition(parts, "node").sortWithinPartitions("node")
-        proposed = dealt.mapInArrow(lean(_compare(turn, every)), _PROPOSED)
-        if large:
-            proposed = proposed.unionByName(_large(work, nodes, sizes, turn, every, cap, parts))
-        if every:
-            chosen = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            pairs = work.save(chosen, f"pairs{turn}")
-        else:
-            one = proposed.groupBy("a").agg(F.min_by("b", "rank").alias("b"), F.max("many").alias("many"), (F.min("b") != F.max("b")).alias("several"))
-            chosen = work.save(one.withColumn("open", F.col("several") | (F.col("many") > 1)), f"chosen{turn}")
-            pairs = work.save(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs{turn}")
-        found = _verified(work, rows, pairs, words, limit, f"links{turn}")
-        links = found if links is None else links.unionByName(found)
-        if every:
-            break
-        still = chosen.where("open")
-        if still.isEmpty():
-            break
-        every = (still.agg(F.sum("many")).first()[0] or 0) <= LEFT * n
-        roots = components(work, links, f"cc{turn}_")
-        named = fps.join(still.select(F.col("a").alias("nid")), "nid", "left_semi").join(roots, F.col("nid") == F.col("node"), "left")
-        now = work.save(named.select("nid", "f0", "f1", F.coalesce("root", "nid").alias("comp")), f"open{turn}")
+    # only texts of clusters move
+    near = may_hold(rows, F.xxhash64("nid"), placed.select(F.xxhash64("nid")), "may").where("may").join(placed.select("nid"), "nid", "left_semi")
+    made = work.save(near.select("nid", "text").mapInArrow(lean(sets), "nid long, grams binary"), "sets")
+    mine = F.pmod(F.xxhash64("nid", F.lit(SEED)), F.col("blocks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.xxhash64("root", F.least("mine", j), F.greatest("mine", j)).alias("unit"), F.when(F.col("mine") > j, 1).otherwise(0).alias("side")))
+    whole = placed.withColumn("mine", mine).join(fps, "nid").join(made, "nid")
+    units = whole.select("nid", *FS, "grams", F.explode(others).alias("u")).select("u.unit", "u.side", "nid", *FS, "grams")
+    dealt = units.repartition(parts, "unit").sortWithinPartitions("unit")
+    links = work.save(dealt.mapInArrow(lean(_verified(limit)), "a long, b long"), "links")
+    work.drop("sets", "placed", "sized")
     return links
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, limit: float = 0.8, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, words: int = 5, limit: float = 0.8, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP, block: int = BLOCK
+) -> DataFrame:
     """One row per input row: id, component_id.
 
     Component: texts are linked whose shingle sets' Jaccard similarity is ``limit`` at least, and component_id is the
-    smallest id that links lead to. Of isolated pairs right at the limit about one in a hundred may be missed, of texts with a handful of shingles one in twenty
-    (see ``RECALL``); no pair below it is linked. The radius and the masks are made for limits from 0.8 up, others raise.
+    smallest id that links lead to. Of isolated pairs right at the limit about one in a hundred may be missed, of texts with a handful of
+    shingles one in twenty (see ``RECALL``); no pair below it is linked. The radius and the masks are made for limits from 0.8 up, others raise.
     Texts without words, and null texts, have the empty set and are one component.
     Shingles are compared by 64-bit hashes, sets by 128-bit digests. Null ids never name a component
     unless all its ids are null. An empty table gives an empty result; other columns are not read.
+    A cluster of many times ``block`` shingles sends each of its texts to as many tasks as it has blocks.
     """
     if not 0.8 <= limit <= 1:
         raise ValueError("the index is made for similarities from 0.8 to 1")
-    share = Fraction(str(limit))
     work = Work(docs.sparkSession, "near")
     rows = work.save(_rows(docs, id_col, text_col, words).withColumn("rid", F.monotonically_increasing_id()), "rows")
-    one = F.min(F.struct("rid", "f0", "f1")).alias("one")
-    sets = work.save(rows.groupBy("s0", "s1").agg(F.min("id").alias("least"), one).select("s0", "s1", "least", F.col("one.rid").alias("nid"), "one.f0", "one.f1"), "distinct")
-    links = _links(work, rows.select(F.col("rid").alias("nid"), "text"), sets.select("nid", "f0", "f1"), words, share, cap)
-    named = sets.select("s0", "s1", F.col("least").alias("component_id"))
-    if links is not None:
-        roots = components(work, links)
-        linked = sets.join(roots, sets["nid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "nid"))
-        names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = linked.select("s0", "s1", "root").join(names, "root").drop("root")
-    named = work.save(named, "named")
+    one = F.min(F.struct("rid", "n", *FS)).alias("one")
+    sets = rows.groupBy("s0", "s1").agg(F.min("id").alias("least"), one)
+    sets = work.save(sets.select("s0", "s1", "least", F.col("one.rid").alias("nid"), "one.n", *[f"one.{f}" for f in FS]), "distinct")
+    links = _links(work, rows.select(F.col("rid").alias("nid"), "text"), sets.select("nid", "n", *FS), words, Fraction(str(limit)), cap, block)
+    roots = components(work, links)
+    linked = sets.join(roots, sets["nid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "nid"))
+    names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = work.save(linked.select("s0", "s1", "root").join(names, "root").drop("root"), "named")
     out = rows.select("id", "s0", "s1").join(named, ["s0", "s1"]).select(F.col("id").alias(id_col), F.coalesce("component_id", "id").alias("component_id"))
     result = work.save(out, "result")
     work.keep_only("result")

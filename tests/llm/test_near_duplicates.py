@@ -60,7 +60,7 @@ def test_recall_at_the_limit():
     """Of pairs at 0.8 exactly, of 5 to 400 shingles, how many fall under a mask together and within the radius (0.94 to 1)."""
     rng = np.random.default_rng(3)
     for n in (1 << 18, 1 << 24):
-        signed = np.array(nd.masks(n), np.int64).view(np.uint64)
+        masks = np.array(nd.masks(n), np.int64).view(np.uint64)
         for size in (5, 9, 18, 45, 400):
             own = size // 9 if size % 9 == 0 else 0
             shared = size - own if own else size * 4 // 5
@@ -69,14 +69,12 @@ def test_recall_at_the_limit():
                 h = rng.integers(0, 1 << 64, (size + max(own, size - shared - own), 2), dtype=np.uint64)
                 a, b = (h[:size], np.r_[h[:shared], h[size:][:own]]) if own else (h[:size], h[:shared])
                 x = nd.fingerprint(a) ^ nd.fingerprint(b)
-                met.append(np.bitwise_count(x).sum() <= nd.RADIUS and bool(((x & signed) == 0).all(axis=1).any()))
+                met.append(np.bitwise_count(x).sum() <= nd.RADIUS and bool(((x & masks) == 0).all(axis=1).any()))
             assert np.mean(met) >= (0.9 if size < 9 else 0.97), (n, size, np.mean(met))
 
 
-@pytest.mark.parametrize("cap, rounds, left", [(nd.CAP, nd.ROUNDS, nd.LEFT), (6, 2, 0), (6, 0, 0), (nd.CAP, 3, 0)])
-def test_components_are_exact(spark, monkeypatch, cap, rounds, left):
-    monkeypatch.setattr(nd, "ROUNDS", rounds)
-    monkeypatch.setattr(nd, "LEFT", left)
+@pytest.mark.parametrize("cap, block", [(nd.CAP, nd.BLOCK), (6, 300)])
+def test_components_are_exact(spark, cap, block):
     rng = random.Random(5)
     passage, rows = words(rng, 40), [(r[0], r[1]) for r in hard_docs()]
     for k in range(6):  # clouds of copies of copies, chains among them, and a passage that many texts hold
@@ -85,7 +83,7 @@ def test_components_are_exact(spark, monkeypatch, cap, rounds, left):
             rows.append((1000 + 100 * k + i, " ".join(at)))
             for _ in range(rng.randrange(1, 4)):
                 at[rng.randrange(len(at))] = "x" + str(rng.random())
-    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=cp.WORDS, cap=cap)
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=cp.WORDS, cap=cap, block=block)
     assert sorted(map(tuple, got.collect()), key=repr) == near_brute(rows)
 
 
@@ -96,3 +94,12 @@ def test_supplied_documents_and_nothing(spark, sf_dir):
     assert nd.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
         nd.near_duplicates(docs, limit=0.5)
+
+
+def test_bitmaps_count_what_sets_share():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 120), dtype=np.uint64)) for _ in range(40)] + [np.zeros(0, np.uint64)]
+    bits = nd.bitmaps(sets)
+    for a in range(41):
+        for b in range(a):
+            assert np.bitwise_count(bits[a] & bits[b]).sum() == len(np.intersect1d(sets[a], sets[b]))
