@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import Work
+from .work import Work, lean
 
 UNIT, FILL = 576, 255
 RATE = 8000
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 512, 8192, 11
-#: Bits of the filter that tells which chunks may be shared: its size is fixed, whatever the data.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that tells which chunks may be shared: for each shared chunk, and at most (16 MB).
+BITS_EACH, MOST_BITS = 16, 1 << 27
 BLOCK = 4 << 20
 
 
@@ -114,28 +114,33 @@ def digest(chunk: bytes) -> bytes:
 
 
 class MaybeShared:
-    """A Bloom filter of digests: two bits each, taken from the digest itself."""
+    """A Bloom filter of digests: two bits each, taken from the digest itself.
+
+    It has ``BITS_EACH`` bits for each digest, up to ``MOST_BITS`` (eight million digests); with more it grows no more,
+    so more chunks that are not shared are taken for shared ones, which costs space only.
+    """
 
     def __init__(self, words: np.ndarray):
-        self.words = words
+        self.words, self.size = words, 64 * len(words)
 
     @staticmethod
-    def bits(digests: DataFrame) -> DataFrame:
-        """(word, bits) of the filter that holds ``digests``."""
-        number = lambda at: F.conv(F.hex(F.substring("digest", at, 4)), 16, 10).cast("long") % FILTER_BITS
+    def bits(digests: DataFrame, size: int) -> DataFrame:
+        """(word, bits) of the filter of ``size`` bits that holds ``digests``."""
+        number = lambda at: F.conv(F.hex(F.substring("digest", at, 4)), 16, 10).cast("long") % size
         places = digests.select(F.explode(F.array(number(1), number(5))).alias("at"))
         bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
         return places.groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
 
     @classmethod
     def of(cls, digests: DataFrame) -> MaybeShared:
-        words = np.zeros(FILTER_BITS // 64, np.int64)
-        for word, bits in cls.bits(digests).collect():  # FILTER_BITS / 64 rows at most
-            words[word] = bits
+        size = min(MOST_BITS, 1 << max(10, (BITS_EACH * digests.count()).bit_length()))
+        words = np.zeros(size // 64, np.int64)
+        table = cls.bits(digests, size).toArrow()  # size / 64 rows at most
+        words[table["word"].to_numpy()] = table["bits"].to_numpy()
         return cls(words.view(np.uint64))
 
     def __contains__(self, d: bytes) -> bool:
-        return all(int(self.words[at >> 6]) >> (at & 63) & 1 for at in (int.from_bytes(d[i : i + 4], "big") % FILTER_BITS for i in (0, 4)))
+        return all(int(self.words[at >> 6]) >> (at & 63) & 1 for at in (int.from_bytes(d[i : i + 4], "big") % self.size for i in (0, 4)))
 
 
 @dataclass
@@ -167,13 +172,14 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> St
                 found = [digest(c) for f in chunked([to_wav(payload_of(t)) for t in texts]) for c in f]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["digest"])
 
-    shared = rows.select("text").mapInArrow(digests, "digest binary").groupBy("digest").count().where("count > 1")
-    words = MaybeShared.of(shared).words
-    sent = docs.sparkSession.sparkContext.broadcast(words.tobytes())  # FILTER_BITS / 8 bytes
+    shared = rows.select("text").mapInArrow(lean(digests), "digest binary").groupBy("digest").count().where("count > 1")
+    words = MaybeShared.of(work.save(shared.select("digest"), "shared")).words
+    work.keep_only()
+    sent = docs.sparkSession.sparkContext.broadcast(words.tobytes())  # MOST_BITS / 8 bytes at most
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maybe = MaybeShared(np.frombuffer(sent.value, np.uint64))
-        seq = 0
+        seq, given = 0, set()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -184,7 +190,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> St
                     for pos, c in enumerate(chunks):
                         d = digest(c)
                         parts.append({"digest": d, "data": None if d in maybe else c})
-                        if parts[-1]["data"] is None:
+                        if parts[-1]["data"] is None and d not in given:  # a task gives each chunk once
+                            given.add(d)
                             out.append(("chunk", seq, None, None, None, pos, d, c))
                     out.append(("file", seq, i, hashlib.sha256(f).hexdigest(), parts, None, None, None))
                     seq += 1
@@ -194,7 +201,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> St
 
     # the file's number: its place among the files of its partition, and the partition's number
     rid = F.shiftleft(F.spark_partition_id().cast("long"), 40).bitwiseOR(F.col("seq"))
-    written = work.save(rows.mapInArrow(stored, _STORED).withColumn("rid", rid).drop("seq"), "written", by="kind")
+    written = work.save(rows.mapInArrow(lean(stored), _STORED).withColumn("rid", rid).drop("seq"), "written", by="kind")
     spots = written.where("kind = 'chunk'")
     first = spots.groupBy("digest").agg(F.min(F.struct("rid", "pos")).alias("at")).select("digest", "at.rid", "at.pos")
     chunks = work.save(spots.join(first, ["digest", "rid", "pos"]).select("digest", "data"), "chunks")
@@ -236,7 +243,7 @@ def load(stored: Store) -> DataFrame:
                 cols = [batch.column("id"), pa.array(media, pa.binary()), batch.column("sha"), pa.array(counts, pa.int32())]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "media", "sha", "n_chunks"])
 
-    return whole.unionByName(partial).mapInArrow(run, "id long, media binary, sha string, n_chunks int")
+    return whole.unionByName(partial).mapInArrow(lean(run), "id long, media binary, sha string, n_chunks int")
 
 
 _MEASURED = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
@@ -265,4 +272,4 @@ def measure(media: DataFrame) -> DataFrame:
                     out.append((i, n_bytes, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(p), n))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return media.mapInArrow(run, _MEASURED)
+    return media.mapInArrow(lean(run), _MEASURED)

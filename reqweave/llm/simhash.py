@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .work import Work
+from .work import Work, lean
 
 CAP, LEAF, FAN = 4096, 64, 8
 #: Bits of a share, at least, where a node is divided by its open bits alone.
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", *[f"f{i}" for i in range(m)]])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, " + ", ".join(f"f{i} long" for i in range(m)))
+    return rows.mapInArrow(lean(run), "id long, " + ", ".join(f"f{i} long" for i in range(m)))
 
 
 def children(mask: tuple[int, ...], open_: tuple[int, ...], most: int, radius: int) -> list[tuple[tuple[int, ...], tuple[int, ...], int]]:

@@ -4,7 +4,7 @@ A byte goes when a string of ``LENGTH`` bytes that covers it also starts in a
 document with a smaller id. Suffixes are compared by prefix polynomial hashes:
 a binary search over lengths finds how far two suffixes agree, so a comparison takes
 a logarithmic number of steps, and a mergesort on such comparisons brings equal
-strings together; what hashes call equal is verified byte by byte.
+strings together. The order is verified byte by byte: where a collision of hashes led it astray, the bytes sort anew.
 
 Which suffixes have to meet is decided by anchors. Each string of LENGTH bytes has
 one anchor, the k-gram in it with the least hash, so equal strings have equal
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import Work
+from .work import Work, lean
 
 LENGTH, GRAM = 50, 24
 GRAMS = LENGTH - GRAM + 1  # k-grams in a string, and strings that an anchor can stand for
@@ -39,9 +39,9 @@ PACK = 2 << 20
 PART_ANCHORS = 200_000
 #: Rows of contexts that are sorted at once; an anchor's contexts stay together.
 SORTED = 4_000
-#: An anchor in more packs than this is frequent: its strings travel one by one, dealt by their own hashes,
-#: so no part gathers all that surrounds a common phrase.
-FREQUENT = 2000
+#: An anchor in more packs than this is frequent: of its strings those that occur more than once, told by their own
+#: hashes, travel one by one, dealt by these, so no part gathers all that surrounds a common phrase.
+FREQUENT = 8
 BASE = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64
 NO_ID = np.iinfo(np.int64).max
@@ -149,15 +149,17 @@ class Anchors:
         self.hash = grams[self.at]
         self.doc = np.searchsorted(ends, self.first, side="right")
 
-    def select(self, kept: np.ndarray, often: np.ndarray) -> None:
-        """Only the anchors ``kept``; those that are frequent make way for their strings, each an anchor of itself."""
-        few, many = kept[~often[kept]], kept[often[kept]]
-        n = self.last[many] - self.first[many] + 1
-        string = np.repeat(self.first[many], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        own = mix(self.prefix.of(string, LENGTH) + U64(LENGTH))
-        self.doc = np.r_[self.doc[few], np.repeat(self.doc[many], n)]
+    def strings(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, document and hash of each string that the anchors ``i`` stand for."""
+        n = self.last[i] - self.first[i] + 1
+        start = np.repeat(self.first[i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return start, np.repeat(self.doc[i], n), mix(self.prefix.of(start, LENGTH) + U64(LENGTH))
+
+    def select(self, few: np.ndarray, start: np.ndarray, doc: np.ndarray, own: np.ndarray) -> None:
+        """Only the anchors ``few``, and single strings, each an anchor of itself."""
+        self.doc = np.r_[self.doc[few], doc]
         self.hash = np.r_[self.hash[few], own]
-        self.at, self.first, self.last = (np.r_[x[few], string] for x in (self.at, self.first, self.last))
+        self.at, self.first, self.last = (np.r_[x[few], start] for x in (self.at, self.first, self.last))
 
     def context_hash(self) -> np.ndarray:
         """Equal for anchors with equal contexts and equal places in them."""
@@ -258,13 +260,16 @@ def _sort_block(i, contexts, length, rel, anchor, doc, mask) -> None:
     order = np.lexsort((lead, left, anchor[i][row]))
     key = np.stack([anchor[i][row][order], left[order].astype(U64), lead[order]], axis=1)
     group = np.cumsum(np.r_[False, (key[1:] != key[:-1]).any(axis=1)])
-    order = order[merge_sort(suffix[order], group, prefix, data)]
+    merged = merge_sort(suffix[order], group, prefix, data)
+    if len(merged) and np.bincount(merged).max() > 1:  # collisions made comparisons contradict each other
+        merged = _by_bytes(data, suffix[order], group)
+    order = order[merged]
+    alike, wrong = _neighbours(data, suffix[order], group)
+    if wrong.any():  # hashes collided in these groups
+        again = np.flatnonzero(np.isin(group, group[1:][wrong]))
+        order[again] = order[again][_by_bytes(data, suffix[order[again]], group[again])]
+        alike, _ = _neighbours(data, suffix[order], group)
     s = suffix[order]
-    alike = (group[1:] == group[:-1]) & (prefix.of(s[1:], LENGTH) == prefix.of(s[:-1], LENGTH))
-    pair = np.flatnonzero(alike)
-    for k in range(0, len(pair), SORTED):  # collisions: strings that differ in spite of equal hashes part here
-        p = pair[k : k + SORTED]
-        alike[p] = (data[s[p, None] + np.arange(LENGTH)] == data[s[p + 1, None] + np.arange(LENGTH)]).all(axis=1)
     run = np.flatnonzero(np.r_[True, ~alike]) if len(s) else np.zeros(0, np.int64)
     d = doc[i][row[order]]
     least = np.repeat(np.minimum.reduceat(d, run), np.diff(np.r_[run, len(d)])) if len(d) else d
@@ -272,6 +277,28 @@ def _sort_block(i, contexts, length, rel, anchor, doc, mask) -> None:
     np.bitwise_or.at(mask, i[row[hit]], np.uint32(1) << off[hit].astype(np.uint32))
 
 
+def _neighbours(data: np.ndarray, s: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of suffixes in order, whether each is the same string as the one before in its group, and whether it should have come before it."""
+    alike, wrong = np.zeros(max(0, len(s) - 1), bool), np.zeros(max(0, len(s) - 1), bool)
+    within = np.flatnonzero(group[1:] == group[:-1])
+    for k in range(0, len(within), SORTED):
+        p = within[k : k + SORTED]
+        x, y = data[s[p, None] + np.arange(LENGTH)], data[s[p + 1, None] + np.arange(LENGTH)]
+        differ = x != y
+        at = differ.argmax(axis=1)
+        each = np.arange(len(p))
+        alike[p] = ~differ[each, at]
+        wrong[p] = x[each, at] > y[each, at]
+    return alike, wrong
+
+
+def _by_bytes(data: np.ndarray, s: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order of suffixes by group and bytes."""
+    rows = np.zeros((len(s), -(-LENGTH // 8) * 8), np.uint8)
+    rows[:, :LENGTH] = data[s[:, None] + np.arange(LENGTH)]
+    return np.lexsort((*rows.view(">u8").T[::-1], group))
+
+
 def _blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
@@ -331,19 +358,56 @@ _KEYS = [("part", pa.int64()), ("pack", pa.int64()), ("keys", pa.binary())]
 _SHARED = [*_KEYS, ("often", pa.binary())]
 
 
+def _keys_of(h: np.ndarray, doc: np.ndarray, pack: int, parts: int) -> pa.RecordBatch:
+    """Hashes of a pack by part, each once, or twice where two of its documents have it."""
+    order = np.lexsort((doc, h))
+    h, d = h[order], doc[order]
+    new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+    other = np.r_[False, (h[1:] == h[:-1]) & (d[1:] != d[:-1])] if len(h) else new
+    h = np.sort(np.concatenate([h[new], np.unique(h[other])]))
+    low = (h & U64(0xFFFFFFFF)).astype(np.uint32)
+    return _batch([(p, pack, _blob(low[x:y])) for p, x, y in _runs(_part(h, parts))], _KEYS)
+
+
+class _Wanted:
+    """The hashes of a pack that others have too, and whether they are frequent."""
+
+    def __init__(self, shared: list[dict] | None):
+        rows = shared or []
+        keys = np.concatenate([np.zeros(0, U64), *[(U64(r["part"]) << U64(32)) | np.frombuffer(r["keys"], np.uint32) for r in rows]])
+        order = np.argsort(keys)
+        self.keys, self.often = keys[order], np.concatenate([np.zeros(0, bool), *[np.frombuffer(r["often"], bool) for r in rows]])[order]
+
+    def among(self, h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each hash whether it is wanted, and whether it is frequent."""
+        if not len(self.keys):
+            return np.zeros(len(h), bool), np.zeros(len(h), bool)
+        key = (_part(h, parts).astype(U64) << U64(32)) | (h & U64(0xFFFFFFFF))
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        found = self.keys[at] == key
+        return found, found & self.often[at]
+
+
 def _anchor_keys(parts: int):
-    """Of each pack the hashes of its anchors by part, twice where two of its documents have one."""
+    """Of each pack the hashes of its anchors by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             ids, a = _open(r["ids"], r["ends"], r["data"])
-            order = np.lexsort((ids[a.doc], a.hash))
-            h, d = a.hash[order], ids[a.doc][order]
-            new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
-            other = np.r_[False, (h[1:] == h[:-1]) & (d[1:] != d[:-1])] if len(h) else new
-            h = np.sort(np.concatenate([h[new], np.unique(h[other])]))
-            low = (h & U64(0xFFFFFFFF)).astype(np.uint32)
-            yield _batch([(p, r["pack"], _blob(low[x:y])) for p, x, y in _runs(_part(h, parts))], _KEYS)
+            yield _keys_of(a.hash, ids[a.doc], r["pack"], parts)
+
+    return run
+
+
+def _string_keys(parts: int):
+    """Of each pack the hashes of its frequent anchors' strings by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            ids, a = _open(r["ids"], r["ends"], r["data"])
+            _, often = _Wanted(r["shared"]).among(a.hash, parts)
+            _, doc, own = a.strings(np.flatnonzero(often))
+            yield _keys_of(own, ids[doc], r["pack"], parts)
 
     return run
 
@@ -395,13 +459,10 @@ def _contexts(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             ids, a = _open(r["ids"], r["ends"], r["data"])
-            wanted = np.concatenate([(U64(s["part"]) << U64(32)) | np.frombuffer(s["keys"], np.uint32) for s in r["shared"]])
-            order = np.argsort(wanted)
-            wanted, often = wanted[order], np.concatenate([np.frombuffer(s["often"], bool) for s in r["shared"]])[order]
-            part = _part(a.hash, parts)
-            key = (part.astype(U64) << U64(32)) | (a.hash & U64(0xFFFFFFFF))
-            at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-            a.select(np.flatnonzero(wanted[at] == key), often[at])
+            found, often = _Wanted(r["shared"]).among(a.hash, parts)
+            start, of, own = a.strings(np.flatnonzero(often))
+            kept, _ = _Wanted(r["strings"]).among(own, parts)
+            a.select(np.flatnonzero(found & ~often), start[kept], of[kept], own[kept])
             part = _part(a.hash, parts)
             i = np.arange(len(a.at))
             doc = ids[a.doc[i]]
@@ -501,25 +562,31 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     work = Work(spark, "suffix")
     ddl = lambda fields: ", ".join(f"{n} {({pa.int64(): 'long', pa.string(): 'string', pa.binary(): 'binary'})[t]}" for n, t in fields)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    packs = work.save(rows.mapInArrow(_packs, ddl(_PACK)), "packs")
+    packs = work.save(rows.mapInArrow(lean(_packs), ddl(_PACK)), "packs")
     total = packs.agg(F.sum(F.length("data"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(4 * tasks, int(total / 13 / PART_ANCHORS) + 1)
 
-    keys = packs.select("pack", "ids", "ends", "data").mapInArrow(_anchor_keys(parts), ddl(_KEYS))
-    dealt = keys.repartition(tasks, "part").sortWithinPartitions("part")
-    shared = work.save(dealt.mapInArrow(_shared_keys(frequent), ddl(_SHARED)), "shared")
+    whole = packs.select("pack", "ids", "ends", "data")
+
+    def shared_by(keys: DataFrame, often: int, name: str) -> DataFrame:
+        """(pack, name): a list of a pack's shared hashes, as many as it has at most."""
+        dealt = keys.repartition(tasks, "part").sortWithinPartitions("part")
+        shared = work.save(dealt.mapInArrow(lean(_shared_keys(often)), ddl(_SHARED)), name)
+        return shared.groupBy("pack").agg(F.collect_list(F.struct("part", "keys", "often")).alias(name))
+
+    anchors = shared_by(whole.mapInArrow(lean(_anchor_keys(parts)), ddl(_KEYS)), frequent, "shared")
     work.keep_only("packs", "shared")
+    strings = shared_by(whole.join(anchors, "pack").mapInArrow(lean(_string_keys(parts)), ddl(_KEYS)), NO_ID, "strings")
+    work.keep_only("packs", "shared", "strings")
 
-    # lists of arrays of one pack: as many as a pack has anchors at most
-    by_pack = shared.groupBy("pack").agg(F.collect_list(F.struct("part", "keys", "often")).alias("shared"))
-    found = packs.select("pack", "ids", "ends", "data").join(by_pack, "pack").mapInArrow(_contexts(parts), ddl(_FOUND))
+    found = whole.join(anchors, "pack").join(strings, "pack", "left").mapInArrow(lean(_contexts(parts)), ddl(_FOUND))
     found = work.save(found, "found", by="kind")
     work.keep_only("packs", "found")
 
     contexts = found.where("kind = 'context'").select("part", "pack", "meta", "bytes")
     dealt = contexts.repartition(tasks, "part").sortWithinPartitions("part")
-    masks = work.save(dealt.mapInArrow(_covered_parts, ddl(_MASKS)), "masks")
+    masks = work.save(dealt.mapInArrow(lean(_covered_parts), ddl(_MASKS)), "masks")
     work.drop("found/kind=context")
     work.keep_only("packs", "found", "masks")
 
@@ -527,7 +594,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     back = masks.groupBy("pack").agg(F.collect_list(F.struct("first", "mask")).alias("masks"))
     joined = packs.join(own, "pack", "left").join(back, "pack", "left")
     schema = "id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary"
-    return joined.mapInArrow(_removed, schema).withColumnRenamed("id", id_col)
+    return joined.mapInArrow(lean(_removed), schema).withColumnRenamed("id", id_col)
 
 
 assert sys.byteorder == "little"  # arrays travel as they lie in memory

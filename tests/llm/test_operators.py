@@ -2,9 +2,11 @@
 
 import functools
 import hashlib
+import io
 import json
 import random
 import re
+import wave
 import zlib
 from collections import defaultdict
 
@@ -269,8 +271,14 @@ def test_media(spark, hard, empty):
     for r in hard.collect():
         b = (r.text or "").encode()
         p = b + b"\xff" * ((-len(b)) % 576 or (0 if b else 576))
-        want.append((r.doc_id, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(p) + 44))
-    assert sorted(want, key=repr) == sorted(((r.id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes) for r in got), key=repr)
+        out = io.BytesIO()  # the standard library's own writer of sound files
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(1), w.setframerate(media.RATE), w.writeframes(p)
+        x = [v - 128 for v in p]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        told = f"mean={sum(x) * 1000 // len(x)};rms={int((sum(v * v for v in x) / len(x)) ** 0.5 * 1000)};crossings={crossings};peak={max(map(abs, x))}"
+        want.append((r.doc_id, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(p) + 44, hashlib.sha256(out.getvalue()).hexdigest(), told))
+    assert sorted(want, key=repr) == sorted(((r.id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in got), key=repr)
     by_payload = defaultdict(set)
     for r in got:
         by_payload[r.payload_sha256].add((r.media_sha256, r.feature, r.n_chunks))
@@ -296,6 +304,9 @@ def test_shared_chunks_are_kept_once(spark):
     stored = media.store(docs)
     kept = stored.chunks.collect()
     assert len({bytes(r.digest) for r in kept}) == len(kept) > 3
+    many = media.MaybeShared.of(spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("x")).select(F.unhex("x").alias("digest")))
+    assert many.size == 1 << 16 and all(hashlib.sha256(str(i).encode()).digest() in many for i in range(3000))
+    assert sum(hashlib.sha256(f"other {i}".encode()).digest() in many for i in range(3000)) < 100
     inline = sum(len(p.data or b"") for r in stored.files.collect() for p in r.parts)
     assert inline + sum(len(r.data) for r in kept) < 2 * len(common)
 
@@ -573,6 +584,37 @@ def test_merge_sort_and_collisions(monkeypatch):
     assert lead.tolist() == [0, 0, 2, 0, 4, 5]
 
 
+def test_colliding_hashes_do_not_matter(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BASE", 1)  # a hash is a sum, so strings of the same letters collide
+    for table in ("_powers", "_inverse"):
+        monkeypatch.setattr(suffix_dedup.PrefixHash, table, np.ones(1, np.uint64))
+    rng = np.random.default_rng(5)
+    base = rng.integers(97, 99, (12, 76), dtype=np.uint8)
+    contexts = base[rng.integers(0, 12, 300)].copy()
+    contexts[np.arange(150), rng.integers(0, 76, 150)] = 99
+    length, rel = rng.integers(50, 77, 300), rng.integers(20, 23, 300)
+    anchor, doc = rng.integers(0, 2, 300).astype(np.uint64), rng.integers(0, 200, 300)
+    contexts[np.arange(76) >= length[:, None]] = 0
+    got = suffix_dedup.covered(contexts, length, rel, anchor, doc)
+    strings = {(i, o): (int(anchor[i]), int(rel[i] - o), contexts[i, o : o + 50].tobytes()) for i in range(300) for o in range(length[i] - 49)}
+    least = {}
+    for (i, _), s in strings.items():
+        least[s] = min(least.get(s, doc[i]), doc[i])
+    want = [sum(1 << o for o in range(length[i] - 49) if least[strings[i, o]] < doc[i]) for i in range(300)]
+    assert got.tolist() == want and any(want)
+
+
+def test_a_common_phrase_in_varied_surroundings(spark, monkeypatch):
+    """Most documents hold one phrase, each between words of its own: its anchors are frequent, its surroundings no repetition."""
+    monkeypatch.setattr(suffix_dedup, "PACK", 500)
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(3, 9)))
+    phrase = "this phrase of more than fifty bytes comes again and again, everywhere"
+    docs = [(i, " ".join([word() for _ in range(rng.randrange(30))] + [phrase[: rng.randrange(40, 71)]] + [word() for _ in range(rng.randrange(30))])) for i in range(120)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, tuple(map(tuple, r.removed)), bytes(r.kept)) for r in got), key=repr) == removed_brute(docs)
+
+
 # ---- 9
 
 
