@@ -50,3 +50,13 @@ def path_suffix(path: Column) -> Column:
 
 def universal_newlines(c: Column) -> Column:
     return F.regexp_replace(c, "\r\n?", "\n")
+
+
+def base64(c: Column) -> Column:
+    """The UTF-8 bytes of a text (or the bytes of a binary) in base64, on one line."""
+    return F.regexp_replace(F.base64(c.cast("binary")), r"[\r\n]", "")
+
+
+def unbase64(c: Column) -> Column:
+    """The text that ``base64`` made that of; null for what is no base64."""
+    return F.try_to_binary(c, F.lit("base64")).cast("string")

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import path_stem, path_suffix, strip, tokens
+from .functions.text import base64, path_stem, path_suffix, strip, tokens, unbase64
 from .operators import chunks, clean, generate, parse, profile, prompts, requirements, sections
+from .plans import cleaning, vision
 from .sources import documents, sinks
 
 # ---- inputs
@@ -279,6 +280,12 @@ def _path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", path_stem(path).alias("stem"), path_suffix(path).alias("suffix"))
 
 
+def _joined(lines: DataFrame) -> DataFrame:
+    """Lines (doc_id, line_no, line) as documents again."""
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return lines.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+
+
 def _md(f):
     return lambda spark, sf: f(markdown(spark, sf))
 
@@ -352,13 +359,6 @@ ALL = {
         rf"SELECT doc_id, {_sql_text(_PROMPT_HEAD)} || regexp_replace(text, '^\s+|\s+$', '', 'g') AS prompt FROM documents",
     ),
     "chunk_json": (
-        lambda s, d: sinks.chunk_json(md_sections(s, d).where("section_no = 0")).select(
-            F.get_json_object("json", "$.page_content").alias("content"), F.get_json_object("json", "$.metadata.header1").alias("header1"), F.get_json_object("json", "$.metadata.doc_id").cast("long").alias("doc_id")
-        ),
-        f"WITH {SECTION_SQL} SELECT content, header1, doc_id FROM sections WHERE section_no = 0",
-    ),
-    # chunk_json as it should be, over every section; that one and its SQL look at the first section of a document only
-    "chunk_json_all": (
         lambda s, d: sinks.chunk_json(md_sections(s, d)).select(
             F.get_json_object("json", "$.page_content").alias("content"),
             F.get_json_object("json", "$.metadata.header1").alias("header1"),
@@ -438,6 +438,22 @@ ALL = {
         """SELECT CAST(page_id // 7 AS VARCHAR) AS pdf, CAST((page_id % 7) // 2 AS BIGINT) AS batch_no, min(page_id % 7 + 1) AS page_index,
             string_agg(CAST(page_id % 7 + 1 AS VARCHAR), ',' ORDER BY page_id) AS pages FROM pages GROUP BY 1, 2""",
     ),
+    "vision_requests": (
+        lambda s, d: vision.page_prompts(pages_as_images(s, d)).select("pdf", "page_index", "image", "prompt"),
+        f"""SELECT CAST(page_id // 7 AS VARCHAR) AS pdf, min(page_id % 7 + 1) AS page_index, {_sql_text(prompts.VISION_TASK)} AS prompt,
+            string_agg(CAST(page_id // 7 AS VARCHAR) || '/page_' || CAST(page_id % 7 + 1 AS VARCHAR) || '.png', ', ' ORDER BY page_id) AS image
+        FROM pages GROUP BY page_id // 7, (page_id % 7) // 2""",
+    ),
+    "clean_batch": (
+        lambda s, d: cleaning.cleaned(_joined(markdown(s, d))),
+        f"""WITH {BLOCKS_SQL}, e AS (SELECT *, block IS NOT NULL AND lead(block) OVER (PARTITION BY doc_id ORDER BY line_no) IS DISTINCT FROM block AS ends FROM kept),
+            c AS (SELECT doc_id, string_agg(line || chr(10) || CASE WHEN ends THEN chr(10) ELSE '' END, '' ORDER BY line_no) AS text FROM e GROUP BY doc_id)
+        SELECT m.doc_id, coalesce(c.text, '') AS text FROM (SELECT DISTINCT doc_id FROM md) m LEFT JOIN c USING (doc_id)""",
+    ),
+    "base64_text": (
+        lambda s, d: docs(s, d).select("doc_id", base64(F.col("text")).alias("coded"), unbase64(base64(F.col("text"))).alias("text")),
+        "SELECT doc_id, base64(encode(text)) AS coded, text FROM documents",
+    ),
     "not_blank": (
         lambda s, d: documents.not_blank(docs(s, d).withColumn("text", F.when(F.col("doc_id") % 5 == 0, " \t\n").otherwise(F.col("text")))).select("doc_id"),
         "SELECT doc_id FROM documents WHERE doc_id % 5 <> 0",
