@@ -38,10 +38,11 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class ByteNet:
-    """The network: an embedding, (weights, bias) for each width, and the softmax layer."""
+    """The network: an embedding, (weights, bias) for each width, and the softmax layer; and the pairs of bytes that it was trained on."""
 
     langs: list[str]
     params: dict[str, np.ndarray] = field(default_factory=dict)
+    seen: np.ndarray = field(default_factory=lambda: np.ones(1 << 16, bool))
 
     @classmethod
     def new(cls, langs: list[str], rng: np.random.Generator) -> ByteNet:
@@ -101,6 +102,10 @@ class ByteNet:
 
     def fit(self, windows: np.ndarray, labels: np.ndarray, rng: np.random.Generator) -> ByteNet:
         """Adam on batches in which all languages are as likely, with a step that falls to a tenth."""
+        a, b = windows[:, :-1], windows[:, 1:]
+        inside = b != PAD
+        self.seen = np.zeros(1 << 16, bool)
+        self.seen[a[inside].astype(np.int64) * 256 + b[inside]] = True
         m = {k: np.zeros_like(v) for k, v in self.params.items()}
         v = {k: np.zeros_like(x) for k, x in self.params.items()}
         weight = 1 / np.bincount(labels, minlength=len(self.langs))[labels]
@@ -114,6 +119,11 @@ class ByteNet:
         return self
 
 
+def least_score(langs: int) -> float:
+    """The score from which a text counts as one of so many languages: a guess among them, and a tenth more."""
+    return 1 / max(1, langs) + 0.1
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -167,7 +177,8 @@ def predict(docs: DataFrame, net: ByteNet, text_col: str = "text", pred_col: str
     """``docs`` with the columns lang_pred and lang_score, from whole texts; columns of these names are replaced.
 
     A text without letters (category L; numbers such as ² are none), or a null one, is ``und`` with score 0; so is every text if no language was
-    learned. Rows are judged one by one: repeated rows get equal answers.
+    learned. The score is the probability times the share of the text's pairs of bytes that training has seen,
+    so a text in another script scores low however sure the network is. Rows are judged one by one: repeated rows get equal answers.
     """
     docs = docs.drop(pred_col, score_col)
     at = docs.columns.index(text_col)
@@ -195,5 +206,7 @@ def _judge(net: ByteNet, texts: list[str | None]) -> tuple[list[str], list[float
             weight[-1] = len(part) - WINDOW * (len(windows) - 1)
             total += weight @ net.probabilities(windows)
         best = int(total.argmax())
-        langs[i], scores[i] = net.langs[best], float(min(1.0, total[best] / total.sum()))
+        raw = np.frombuffer(data, np.uint8).astype(np.int64)
+        known_pairs = net.seen[raw[:-1] * 256 + raw[1:]].mean() if len(raw) > 1 else 1.0
+        langs[i], scores[i] = net.langs[best], float(min(1.0, total[best] / total.sum()) * known_pairs)
     return langs, scores

@@ -36,6 +36,15 @@ def test_language_stage_keeps_texts(stages):
     assert len(lost) <= 0.02 * len(texts) and all(len(texts[i]) < 200 for i in lost)
 
 
+def test_other_scripts_are_rejected(spark):
+    docs = queries.documents(spark, "/root/testdata/sf0.01")
+    foreign = ["Съешь же ещё этих мягких французских булок, да выпей чаю.", "いろはにほへと ちりぬるを わかよたれそ つねならむ", "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία", "12 34 56", ""]
+    more = spark.createDataFrame([(-1 - i, t * 3, None, "s", 1) for i, t in enumerate(foreign)], docs.schema)
+    kept = {r.doc_id for r in cp.language_id(spark, docs.unionByName(more), "").collect()}
+    assert not [i for i in kept if i < 0]
+    assert len(kept) >= 0.995 * docs.count()
+
+
 def test_line_stage(stages):
     docs, after = stages[1]
     want = lines_brute([(r.doc_id, r.text, r.source) for r in docs.collect()], 0.05, 4)
