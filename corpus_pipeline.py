@@ -14,17 +14,16 @@ from pyspark.sql import functions as F
 from reqweave.llm import langid, line_dedup, near_duplicates, queries
 from reqweave.llm.work import Work, columns, fresh
 
-#: A text is rejected if it has no letters or no language gets this share (a guess among four gets 0.25).
-MIN_SCORE = 0.3
 #: Five-word shingles, and the similarity of their sets from which two texts are near copies.
 WORDS, SIMILARITY = 5, 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a learned language; null and letterless texts go. Learns from labelled rows of ``docs``."""
+    """Documents with a learned language; null and letterless texts go, and those that score no better than a guess. Learns from labelled rows of ``docs``."""
     pred, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
-    judged = langid.predict(docs, langid.train(docs), pred_col=pred, score_col=score)
-    return judged.where((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*columns(docs))
+    net = langid.train(docs)
+    judged = langid.predict(docs, net, pred_col=pred, score_col=score)
+    return judged.where((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= langid.least_score(len(net.langs)))).select(*columns(docs))
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
