@@ -121,6 +121,15 @@ def may_hold(rows: DataFrame, key: Column, wanted: DataFrame, name: str) -> Data
     return marked.withColumn(name, hit).drop("__word", "__bits", "__key")
 
 
+def without(work: Work, rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` (a whole number) is not among ``gone`` (one column, each once); null keys stay. Few rows move if few go."""
+    gone = work.save(gone.select(F.col(gone.columns[0]).cast("long").alias(key)), "gone")
+    may = fresh(rows, "__may")
+    marked = may_hold(rows, F.xxhash64(F.col(key).cast("long")), gone.select(F.xxhash64(key)), may)
+    left = marked.where(may).join(gone, key, "left_anti")
+    return marked.where(~F.col(may)).unionByName(left).select(*columns(rows))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until ``df`` has no such column (names are compared as Spark does, without case)."""
     taken = {c.lower() for c in df.columns}
