@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqweave.llm import langid, line_dedup, near_duplicates, queries
-from reqweave.llm.work import Work, columns, fresh
+from reqweave.llm.work import Work, columns, fresh, without
 
 #: Five-word shingles, and the similarity of their sets from which two texts are near copies.
 WORDS, SIMILARITY = 5, 0.8
@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group. Rows with equal ids are one document; null ids stay."""
     groups = near_duplicates.near_duplicates(docs, words=WORDS, limit=SIMILARITY)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*columns(docs))
+    return without(Work(spark, "kept"), docs, gone, "doc_id")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
