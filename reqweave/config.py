@@ -22,6 +22,7 @@ class EngineConfig:
     overlap: int = 200
     pages_per_request: int = 2
     dialect: str = "strict"
+    prompt: str = "requirement_extraction"
 
     @property
     def split_size(self) -> int:

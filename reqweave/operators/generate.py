@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import base64
+import http.client
 import json
 import re
 import time
-import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -64,6 +65,10 @@ class RuleBackend:
         return json.dumps(found, ensure_ascii=False) if schema else " ".join(x["code"] for x in found)
 
 
+#: Open connections of this process, by server.
+_connections: dict[tuple, http.client.HTTPConnection] = {}
+
+
 @dataclass
 class HttpBackend:
     """A local model server with the endpoints /api/tags, /api/pull and /api/generate."""
@@ -74,10 +79,27 @@ class HttpBackend:
     headers: dict = field(default_factory=dict)
 
     def _call(self, path: str, body: dict | None = None) -> dict:
+        """One request. A worker keeps its connection to a server; one that the server has closed meanwhile is opened anew."""
+        at = urlsplit(self.host.rstrip("/") + path)
         data = None if body is None else json.dumps(body).encode()
-        request = urllib.request.Request(self.host.rstrip("/") + path, data, {"Content-Type": "application/json", **self.headers})
-        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
-            return json.loads(reply.read())
+        key = (at.scheme, at.netloc, self.timeout)
+        while True:
+            kept = _connections.pop(key, None)
+            kind = http.client.HTTPSConnection if at.scheme == "https" else http.client.HTTPConnection
+            connection = kept or kind(at.netloc, timeout=self.timeout)
+            try:
+                connection.request("POST" if data else "GET", at.path, data, {"Content-Type": "application/json", **self.headers})
+                reply = connection.getresponse()
+                content = reply.read()
+            except (http.client.HTTPException, OSError) as e:
+                connection.close()
+                if kept and not isinstance(e, TimeoutError):
+                    continue
+                raise e if isinstance(e, OSError) else OSError(str(e)) from e
+            _connections[key] = connection
+            if reply.status >= 400:
+                raise OSError(f"HTTP {reply.status}: {content[:200].decode(errors='replace')}")
+            return json.loads(content)
 
     def running(self) -> bool:
         try:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,7 +65,18 @@ def extraction(text: Column, schema: str = "", few_shot: str = "", with_schema:
     return F.concat(F.lit(head), strip(text))
 
 
-PROMPTS = {"requirement_extraction": extraction}
+def ad_hoc(task: str) -> Callable[..., Column]:
+    """A prompt for a task in one's own words: the task, a separator and the document. Examples and schema stay out of it."""
+
+    def made(text: Column, schema: str = "", few_shot: str = "", with_schema: bool = False) -> Column:
+        return F.concat(F.lit(f"{task.strip()}\n\nDocument:\n{SEPARATOR}\n"), strip(text))
+
+    return made
+
+
+#: A short task for trying a model out.
+TRIAL_TASK = "List the codes and descriptions of all requirements in the document, as a JSON array of objects."
+PROMPTS: dict[str, Callable[..., Column]] = {"requirement_extraction": extraction, "trial": ad_hoc(TRIAL_TASK)}
 
 
 def prompt(name: str, text: Column, schema: str = REQUIREMENTS_SCHEMA, include_few_shot: bool = True, with_schema: bool = False) -> Column:

@@ -22,7 +22,7 @@ def chunk_table(docs: DataFrame, config: EngineConfig = EngineConfig(), cleaned:
 
 def prompt_table(chunk_rows: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Chunks with their prompt and its key."""
-    asked = chunk_rows.withColumn("prompt", prompts.prompt("requirement_extraction", F.col("content")))
+    asked = chunk_rows.withColumn("prompt", prompts.prompt(config.prompt, F.col("content")))
     return asked.withColumn("key", generate.prompt_key(config.model, config.temperature, "prompt"))
 
 

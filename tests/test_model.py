@@ -138,6 +138,50 @@ def test_http_backend():
     assert seen[0]["options"] == {"temperature": 0.5} and seen[0]["system"] == generate.JSON_INSTRUCTION and seen[0]["stream"] is False
 
 
+def test_a_connection_is_kept():
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    opened, answers = [], iter(["[1]", "gone", "[2]", "bad"])
+
+    class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def setup(self):
+            opened.append(1)
+            super().setup()
+
+        def do_POST(self):
+            self.rfile.read(int(self.headers["Content-Length"]))
+            said = next(answers)
+            if said == "gone":  # the server gives up the connection
+                self.close_connection = True
+                return
+            body = json.dumps({"response": said}).encode()
+            self.send_response(500 if said == "bad" else 200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    b = generate.HttpBackend(f"http://127.0.0.1:{server.server_port}", timeout=5)
+    ask = lambda: generate.generate(b, "p", "m", max_retries=1)
+    assert ask() == ("[1]", None) and ask() == ("[2]", None) and len(opened) == 2
+    assert ask()[1].startswith("OSError: HTTP 500") and len(opened) == 2
+    server.shutdown()
+
+
+def test_prompts_in_own_words(spark):
+    made = spark.range(1).select(prompts.prompt("trial", F.lit(" text ")).alias("p"), prompts.ad_hoc("Sum it up.")(F.lit("x")).alias("q")).first()
+    assert made.p == f"{prompts.TRIAL_TASK}\n\nDocument:\n-----\ntext" and made.q == "Sum it up.\n\nDocument:\n-----\nx"
+    with pytest.raises(ValueError):
+        prompts.prompt("other", F.lit("x"))
+
+
 DOCS = [("a.md", "# Title\n## HAA-1 / CREATED\nmust run\n12\n<!-- x -->\nfast\n# End\nREQ-2 : stop\nnow"), ("b.md", "nothing"), ("c.md", "  "), ("d.md", None)]
 
 
