@@ -11,9 +11,10 @@ median falls into, until that bin is lighter than the tolerance or holds one poi
 
 from __future__ import annotations
 
+import json
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -130,7 +131,7 @@ def _tree(work: Work, points: DataFrame, n_dims: int, leaves: int, total: int) -
     first: dict[int, tuple[int, int]] = {1: (0, leaves)}  # node -> first shard, shards
     level, spans, depth = [1], None, 0
     while level := [n for n in level if first[n][1] > 1]:
-        inner = spark.createDataFrame([(n,) for n in level], "node long")
+        inner = _table(spark, [(n,) for n in level], "node long")
         bounds = points.join(F.broadcast(inner), "node").groupBy("node")
         bounds = bounds.agg(F.sum("size").alias("bytes"), *[f(f"k{i}").alias(f"{x}{i}") for i in range(n_dims) for x, f in (("lo", F.min), ("hi", F.max))]).collect()
         open_, goal = {}, {}
@@ -148,7 +149,7 @@ def _tree(work: Work, points: DataFrame, n_dims: int, leaves: int, total: int) -
             first[2 * n], first[2 * n + 1] = (at, k // 2), (at + k // 2, k - k // 2)
             below += [2 * n, 2 * n + 1]
         if open_:
-            cuts = spark.createDataFrame([(n, open_[n][0], found[n]) for n in open_], "node long, d int, cut long")
+            cuts = _table(spark, [(n, open_[n][0], found[n]) for n in open_], "node long, d int, cut long")
             side = F.when(F.element_at(keys, F.col("d") + 1) <= F.col("cut"), F.col("node") * 2).otherwise(F.col("node") * 2 + 1)
             below_it = F.when(F.col("d").isNull(), F.col("node")).otherwise(side)
             points = points.join(F.broadcast(cuts), "node", "left").withColumn("node", below_it).drop("d", "cut")
@@ -156,10 +157,17 @@ def _tree(work: Work, points: DataFrame, n_dims: int, leaves: int, total: int) -
         if depth % LEVELS == 0:
             points = work.save(points, f"level{depth}")
             work.drop(f"level{depth - LEVELS}")
-    shards = spark.createDataFrame([(n, at) for n, (at, k) in first.items() if k == 1], "node long, shard int")
+    shards = _table(spark, [(n, at) for n, (at, k) in first.items() if k == 1], "node long, shard int")
     return points.join(F.broadcast(shards), "node")
 
 
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of numbers as a literal, so that no Python worker makes it."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ': ').replace(',: ', ', ')}>>")))
+
+
 def _medians(points: DataFrame, keys: Column, open_: dict, goal: dict, tolerance: float) -> dict[int, int]:
     """For each node, the key up to which its points hold ``goal`` bytes, as near as may be."""
     spark, found = points.sparkSession, {}
@@ -168,7 +176,7 @@ def _medians(points: DataFrame, keys: Column, open_: dict, goal: dict, tolerance
         bins = max(16, BINS // len(open_))
         step = {n: -(-(hi - lo + 1) // bins) for n, (_, lo, hi) in open_.items()}
         table = [(n, d, lo, hi, step[n], float(goal[n] - before[n])) for n, (d, lo, hi) in open_.items()]
-        inside = points.join(F.broadcast(spark.createDataFrame(table, "node long, d int, lo long, hi long, step long, rest double")), "node")
+        inside = points.join(F.broadcast(_table(spark, table, "node long, d int, lo long, hi long, step long, rest double")), "node")
         inside = inside.withColumn("key", F.element_at(keys, F.col("d") + 1)).where("key between lo and hi")
         hist = inside.groupBy("node", F.expr("(key - lo) div step").alias("bin")).agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.first("rest").alias("rest"))
         run = hist.withColumn("upto", F.sum("w").over(W.partitionBy("node").orderBy("bin")))
