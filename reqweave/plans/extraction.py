@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..config import EngineConfig
 from ..operators import chunks, clean, generate, parse, prompts, sections
@@ -16,8 +17,8 @@ def chunk_table(docs: DataFrame, config: EngineConfig = EngineConfig(), cleaned:
     if cleaned:
         lines = clean.filter_blocks(clean.clean_noise(lines)).select("doc_id", "line_no", "line")
     packed = chunks.optimise(sections.sections(lines), max_tokens=config.max_tokens)
-    order = F.array_sort(F.collect_list(F.struct("group_no", "bin_no", "header1", "content", "merged_from", "token_count", "chunk_count")))
-    return packed.groupBy("doc_id").agg(order.alias("c")).select("doc_id", F.posexplode("c").alias("chunk_no", "c")).select("doc_id", "chunk_no", "c.*")
+    number = F.row_number().over(W.partitionBy("doc_id").orderBy("group_no", "bin_no", "header1")) - 1
+    return packed.select("doc_id", number.alias("chunk_no"), "group_no", "bin_no", "header1", "content", "merged_from", "token_count", "chunk_count")
 
 
 def prompt_table(chunk_rows: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
