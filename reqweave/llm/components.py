@@ -12,13 +12,12 @@ from .work import Work
 HUB, SHARE = 256, 1e-5
 
 
-def _with_least(work: Work, links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """``links`` with the least neighbour of ``a``, and that least of every node.
+def _with_least(work: Work, links: DataFrame, total: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """``links`` (``total`` at most) with the least neighbour of ``a``, and that least of every node.
 
     Hubs' links, which may be most of all, stay where they are: the hubs are broadcast.
     """
     least = work.save(links.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")), name)
-    total = least.agg(F.sum("n")).first()[0] or 0
     hubs = least.where(F.col("n") > max(HUB, int(total * SHARE))).select("a", F.col("least").alias("hub_least"))
     marked = links.join(F.broadcast(hubs), "a", "left")
     at_hub = marked.where("hub_least is not null").select("a", "b", F.col("hub_least").alias("least"))
@@ -26,14 +25,14 @@ def _with_least(work: Work, links: DataFrame, name: str) -> tuple[DataFrame, Dat
     return at_hub.unionByName(rest), least.select("a", "least")
 
 
-def _large_star(work: Work, edges: DataFrame, name: str) -> DataFrame:
+def _large_star(work: Work, edges: DataFrame, total: int, name: str) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    joined, _ = _with_least(work, both, name)
+    joined, _ = _with_least(work, both, 2 * total, name)
     return joined.where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b"))
 
 
-def _small_star(work: Work, edges: DataFrame, name: str) -> DataFrame:
-    joined, least = _with_least(work, edges, name)
+def _small_star(work: Work, edges: DataFrame, total: int, name: str) -> DataFrame:
+    joined, least = _with_least(work, edges, 2 * total, name)
     moved = joined.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
 
@@ -46,15 +45,15 @@ def components(work: Work, edges: DataFrame, name: str = "cc") -> DataFrame:
     Each round is a table of its own in the shared folder; neighbours are never gathered in lists.
     """
     now = work.save(edges.where("a <> b").select("a", "b").distinct(), f"{name}0")
-    seen, k = None, 0
+    seen, k, total = None, 0, now.count()
     while True:
         k += 1
-        large = work.save(_large_star(work, now, f"{name}{k}_up"), f"{name}{k}_large")
-        now = work.save(_small_star(work, large, f"{name}{k}_down"), f"{name}{k}")
+        large = work.save(_large_star(work, now, total, f"{name}{k}_up"), f"{name}{k}_large")
+        now = work.save(_small_star(work, large, total, f"{name}{k}_down"), f"{name}{k}")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         work.drop(f"{name}{k - 1}", f"{name}{k}_up", f"{name}{k}_large", f"{name}{k}_down")
         if state == seen:
             break
-        seen = state
+        seen, total = state, state[0]
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
