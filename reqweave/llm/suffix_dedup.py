@@ -39,9 +39,9 @@ PACK = 2 << 20
 PART_ANCHORS = 200_000
 #: Rows of contexts that are sorted at once; an anchor's contexts stay together.
 SORTED = 4_000
-#: An anchor in more packs than this is frequent: of its strings those that occur more than once, told by their own
-#: hashes, travel one by one, dealt by these, so no part gathers all that surrounds a common phrase.
-FREQUENT = 8
+#: An anchor with more contexts than this, of all packs (5 MB), is frequent: of its strings those that occur more than once, told by
+#: their own hashes, travel one by one, dealt by these, so no part gathers all that surrounds a common phrase.
+FREQUENT = 50_000
 BASE = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64
 NO_ID = np.iinfo(np.int64).max
@@ -355,16 +355,19 @@ def _runs(sorted_: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 _KEYS = [("part", pa.int64()), ("pack", pa.int64()), ("keys", pa.binary())]
-_SHARED = [*_KEYS, ("often", pa.binary())]
-
-
-def _keys_of(h: np.ndarray, doc: np.ndarray, pack: int, parts: int) -> pa.RecordBatch:
-    """Hashes of a pack by part, each once, or twice where two of its documents have it."""
-    order = np.lexsort((doc, h))
-    h, d = h[order], doc[order]
-    new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
-    other = np.r_[False, (h[1:] == h[:-1]) & (d[1:] != d[:-1])] if len(h) else new
-    h = np.sort(np.concatenate([h[new], np.unique(h[other])]))
+_SHARED = [*_KEYS, ("often", pa.binary()), ("n_often", pa.int64())]
+
+
+def _keys_of(h: np.ndarray, doc: np.ndarray, told: np.ndarray, pack: int, parts: int) -> pa.RecordBatch:
+    """Hashes of a pack by part: one that several of its documents have as often as it has different ``told`` (twice at least), others once."""
+    order = np.lexsort((told, h))
+    h, d, c = h[order], doc[order], told[order]
+    if len(h):
+        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        several = np.maximum.reduceat(d, start) != np.minimum.reduceat(d, start)
+        new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
+        times = np.where(several, np.maximum(2, np.add.reduceat(new.astype(np.int64), start)), 1)
+        h = np.repeat(h[start], times)
     low = (h & U64(0xFFFFFFFF)).astype(np.uint32)
     return _batch([(p, pack, _blob(low[x:y])) for p, x, y in _runs(_part(h, parts))], _KEYS)
 
@@ -394,7 +397,7 @@ def _anchor_keys(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             ids, a = _open(r["ids"], r["ends"], r["data"])
-            yield _keys_of(a.hash, ids[a.doc], r["pack"], parts)
+            yield _keys_of(a.hash, ids[a.doc], a.context_hash(), r["pack"], parts)
 
     return run
 
@@ -407,7 +410,7 @@ def _string_keys(parts: int):
             ids, a = _open(r["ids"], r["ends"], r["data"])
             _, often = _Wanted(r["shared"]).among(a.hash, parts)
             _, doc, own = a.strings(np.flatnonzero(often))
-            yield _keys_of(own, ids[doc], r["pack"], parts)
+            yield _keys_of(own, ids[doc], own, r["pack"], parts)
 
     return run
 
@@ -443,7 +446,8 @@ def _shared_keys(frequent: int):
             out = []
             for p, x, y in _runs(pack[order]):
                 mine, at = np.unique(keys[order[x:y]], return_index=True)
-                out.append((part, rows[p]["pack"], _blob(mine), _blob(times[order[x:y]][at] > frequent)))
+                often = times[order[x:y]][at] > frequent
+                out.append((part, rows[p]["pack"], _blob(mine), _blob(often), int(often.sum())))
             yield _batch(out, _SHARED)
 
     return run
@@ -570,17 +574,22 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = packs.select("pack", "ids", "ends", "data")
 
     def shared_by(keys: DataFrame, often: int, name: str) -> DataFrame:
-        """(pack, name): a list of a pack's shared hashes, as many as it has at most."""
+        """(pack, name, n_often): a list of a pack's shared hashes, as many as it has at most."""
         dealt = keys.repartition(tasks, "part").sortWithinPartitions("part")
         shared = work.save(dealt.mapInArrow(lean(_shared_keys(often)), ddl(_SHARED)), name)
-        return shared.groupBy("pack").agg(F.collect_list(F.struct("part", "keys", "often")).alias(name))
+        return shared.groupBy("pack").agg(F.collect_list(F.struct("part", "keys", "often")).alias(name), F.sum("n_often").alias("n_often"))
 
     anchors = shared_by(whole.mapInArrow(lean(_anchor_keys(parts)), ddl(_KEYS)), frequent, "shared")
     work.keep_only("packs", "shared")
-    strings = shared_by(whole.join(anchors, "pack").mapInArrow(lean(_string_keys(parts)), ddl(_KEYS)), NO_ID, "strings")
-    work.keep_only("packs", "shared", "strings")
-
-    found = whole.join(anchors, "pack").join(strings, "pack", "left").mapInArrow(lean(_contexts(parts)), ddl(_FOUND))
+    wanted = whole.join(anchors, "pack")
+    hot = wanted.where("n_often > 0").drop("n_often")
+    if work.read("shared").where("n_often > 0").isEmpty():  # nothing is frequent here
+        wanted = wanted.withColumn("strings", F.lit(None).cast("array<struct<part: long, keys: binary, often: binary>>"))
+    else:
+        wanted = wanted.join(shared_by(hot.mapInArrow(lean(_string_keys(parts)), ddl(_KEYS)), NO_ID, "strings").drop("n_often"), "pack", "left")
+        work.keep_only("packs", "shared", "strings")
+
+    found = wanted.drop("n_often").mapInArrow(lean(_contexts(parts)), ddl(_FOUND))
     found = work.save(found, "found", by="kind")
     work.keep_only("packs", "found")
 
