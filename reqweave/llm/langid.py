@@ -207,6 +207,6 @@ def _judge(net: ByteNet, texts: list[str | None]) -> tuple[list[str], list[float
             total += weight @ net.probabilities(windows)
         best = int(total.argmax())
         raw = np.frombuffer(data, np.uint8).astype(np.int64)
-        known_pairs = net.seen[raw[:-1] * 256 + raw[1:]].mean() if len(raw) > 1 else 1.0
+        known_pairs = (net.seen[raw[:-1] * 256 + raw[1:]].sum() + 1) / len(raw)  # one more of each, so that no letter scores nothing
         langs[i], scores[i] = net.langs[best], float(min(1.0, total[best] / total.sum()) * known_pairs)
     return langs, scores

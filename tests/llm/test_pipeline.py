@@ -63,8 +63,10 @@ def test_mix_stage(stages, spark):
     docs, after = stages[3]
     mixed = queries.mixed(docs)[0].collect()
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in mixed if r.mix_sampled}
-    share = sum(r.mix_tokens for r in mixed if r.mix_sampled) / sum(r.mix_tokens for r in mixed)
-    assert abs(share - queries.MIX.keep) < 0.15
+    total = sum(r.mix_tokens for r in mixed)
+    expected = sum(r.mix_tokens * r.mix_probability for r in mixed) / total
+    share = sum(r.mix_tokens for r in mixed if r.mix_sampled) / total
+    assert 0.1 < expected <= queries.MIX.keep + 1e-9 and abs(share - expected) < 0.15
 
 
 def test_last_stage_and_run(stages, spark, sf_dir):
