@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from .work import lean, slices
 
-#: Entries of the tables of words and fragments (about 6 MB each); a full table is emptied.
-KEPT, LONGEST = 40_000, 60
+#: Entries of the tables of words and fragments (about 25 MB each), and characters of one; a full table is emptied.
+KEPT, LONGEST = 150_000, 100
 #: Rows of a batch that a task returns at once.
 ROWS = 512
 
