@@ -35,8 +35,10 @@ LENGTH, GRAM = 50, 24
 GRAMS = LENGTH - GRAM + 1  # k-grams in a string, and strings that an anchor can stand for
 CONTEXT = LENGTH + GRAMS - 1
 PACK = 2 << 20
-#: Anchors of a part, about; parts grow in number with the text.
-PART_ANCHORS = 200_000
+#: Bytes of rows that become Python's objects at once, about.
+HELD = 1 << 20
+#: Anchors of a part, at most about; parts grow in number with the text.
+PART_ANCHORS = 1_000_000
 #: Rows of contexts that are sorted at once; an anchor's contexts stay together.
 SORTED = 4_000
 #: An anchor with more contexts than this, of all packs (5 MB), is frequent: of its strings those that occur more than once, told by
@@ -108,11 +110,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def row_hash(rows: np.ndarray) -> np.ndarray:
-    """A polynomial hash of each row of bytes."""
-    PrefixHash._tables(rows.shape[1])
-    powers, out = PrefixHash._powers[: rows.shape[1]], np.empty(len(rows), U64)
-    for k in range(0, len(rows), SORTED):
-        out[k : k + SORTED] = ((rows[k : k + SORTED].astype(U64) + U64(1)) * powers).sum(axis=1)
+    """A polynomial hash of each row of bytes, four at a time."""
+    words = rows.view("<u4")
+    PrefixHash._tables(words.shape[1])
+    powers, out = PrefixHash._powers[: words.shape[1]], np.empty(len(words), U64)
+    for k in range(0, len(words), SORTED):
+        out[k : k + SORTED] = ((words[k : k + SORTED].astype(U64) + U64(1)) * powers).sum(axis=1)
     return out
 
 
@@ -146,7 +149,7 @@ class Anchors:
         new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         self.at, self.first = place[new], string[new]
         self.last = string[np.r_[new[1:], len(string)] - 1]
-        self.hash = grams[self.at]
+        self.hash = mix(grams[self.at] ^ U64(BASE))  # least hashes lie close to zero: mixed again they spread over all parts
         self.doc = np.searchsorted(ends, self.first, side="right")
 
     def strings(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -309,10 +312,11 @@ def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Recor
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Row by row, as a row may be megabytes."""
+    """Rows, a few megabytes at a time: one may be megabytes, or thousands of them none."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+        step = max(1, batch.num_rows * HELD // max(1, batch.nbytes))
+        for i in range(0, batch.num_rows, step):
+            yield from batch.slice(i, step).to_pylist()
 
 
 _PACK = [("pack", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("ends", pa.binary()), ("data", pa.binary())]
@@ -348,6 +352,11 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
 
 
+def _parts(total: int, tasks: int) -> int:
+    """The number of parts for so many bytes of text: as many for each task."""
+    return tasks * max(1, -(-total // (13 * PART_ANCHORS * tasks)))
+
+
 def _runs(sorted_: np.ndarray) -> Iterator[tuple[int, int, int]]:
     edges = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else []
     for a, b in zip(edges, [*edges[1:], len(sorted_)]):
@@ -443,11 +452,11 @@ def _shared_keys(frequent: int):
             times[order] = np.repeat(size, size)
             order = np.flatnonzero(times > 1)
             order = order[np.lexsort((keys[order], pack[order]))]
-            out = []
-            for p, x, y in _runs(pack[order]):
-                mine, at = np.unique(keys[order[x:y]], return_index=True)
-                often = times[order[x:y]][at] > frequent
-                out.append((part, rows[p]["pack"], _blob(mine), _blob(often), int(often.sum())))
+            mine, of = keys[order], pack[order]
+            new = np.r_[True, (mine[1:] != mine[:-1]) | (of[1:] != of[:-1])] if len(order) else np.zeros(0, bool)
+            mine, of, often = mine[new], of[new], times[order[new]] > frequent
+            so_far = np.r_[0, np.cumsum(often)].tolist()
+            out = [(part, rows[p]["pack"], _blob(mine[x:y]), _blob(often[x:y]), so_far[y] - so_far[x]) for p, x, y in _runs(of)]
             yield _batch(out, _SHARED)
 
     return run
@@ -468,21 +477,19 @@ def _contexts(parts: int):
             kept, _ = _Wanted(r["strings"]).among(own, parts)
             a.select(np.flatnonzero(found & ~often), start[kept], of[kept], own[kept])
             part = _part(a.hash, parts)
-            i = np.arange(len(a.at))
-            doc = ids[a.doc[i]]
-            leader, leads = classes(a.hash[i] ^ mix(a.context_hash()[i]), doc, lambda x: _told(a, i[x]))
+            doc = ids[a.doc]
+            leader, leads = classes(a.hash ^ mix(a.context_hash()), doc, lambda x: _told(a, x))
             after = doc > doc[leader]
             same = ~after & ~leads
-            rows = [("own", 0, r["pack"], _blob(np.stack([a.first[i[after]], a.last[i[after]]])), None),
-                    ("same", 0, r["pack"], _blob(np.stack([a.first[i[same]], a.first[i[leader[same]]]])), None)]
+            rows = [("own", 0, r["pack"], _blob(np.stack([a.first[after], a.last[after]])), None),
+                    ("same", 0, r["pack"], _blob(np.stack([a.first[same], a.first[leader[same]]])), None)]
             lead = np.flatnonzero(leads)
-            lead = lead[np.argsort(part[i[lead]], kind="stable")]
-            for p, x, y in _runs(part[i[lead]]):
-                j = i[lead[x:y]]
-                meta = np.empty(len(j), _META)
-                meta["hash"], meta["doc"], meta["first"] = a.hash[j], ids[a.doc[j]], a.first[j]
-                meta["rel"], meta["length"] = a.at[j] - a.first[j], a.last[j] - a.first[j] + LENGTH
-                rows.append(("context", p, r["pack"], meta.tobytes(), _blob(a.contexts(j))))
+            lead = lead[np.argsort(part[lead], kind="stable")]
+            meta = np.empty(len(lead), _META)
+            meta["hash"], meta["doc"], meta["first"] = a.hash[lead], doc[lead], a.first[lead]
+            meta["rel"], meta["length"] = a.at[lead] - a.first[lead], a.last[lead] - a.first[lead] + LENGTH
+            for p, x, y in _runs(part[lead]):
+                rows.append(("context", p, r["pack"], meta[x:y].tobytes(), _blob(a.contexts(lead[x:y]))))
             yield _batch(rows, _FOUND)
 
     return run
@@ -569,14 +576,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     packs = work.save(rows.mapInArrow(lean(_packs), ddl(_PACK)), "packs")
     total = packs.agg(F.sum(F.length("data"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(4 * tasks, int(total / 13 / PART_ANCHORS) + 1)
+    parts = _parts(total, tasks)
 
     whole = packs.select("pack", "ids", "ends", "data")
 
+    def by_part(rows: DataFrame) -> DataFrame:
+        """Each part in a task, as many of them in each."""
+        return rows.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).sortWithinPartitions("part")
+
     def shared_by(keys: DataFrame, often: int, name: str) -> DataFrame:
         """(pack, name, n_often): a list of a pack's shared hashes, as many as it has at most."""
-        dealt = keys.repartition(tasks, "part").sortWithinPartitions("part")
-        shared = work.save(dealt.mapInArrow(lean(_shared_keys(often)), ddl(_SHARED)), name)
+        shared = work.save(by_part(keys).mapInArrow(lean(_shared_keys(often)), ddl(_SHARED)), name)
         return shared.groupBy("pack").agg(F.collect_list(F.struct("part", "keys", "often")).alias(name), F.sum("n_often").alias("n_often"))
 
     anchors = shared_by(whole.mapInArrow(lean(_anchor_keys(parts)), ddl(_KEYS)), frequent, "shared")
@@ -594,8 +604,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     work.keep_only("packs", "found")
 
     contexts = found.where("kind = 'context'").select("part", "pack", "meta", "bytes")
-    dealt = contexts.repartition(tasks, "part").sortWithinPartitions("part")
-    masks = work.save(dealt.mapInArrow(lean(_covered_parts), ddl(_MASKS)), "masks")
+    masks = work.save(by_part(contexts).mapInArrow(lean(_covered_parts), ddl(_MASKS)), "masks")
     work.drop("found/kind=context")
     work.keep_only("packs", "found", "masks")
 

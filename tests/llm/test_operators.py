@@ -615,6 +615,15 @@ def test_a_common_phrase_in_varied_surroundings(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_bytes, tuple(map(tuple, r.removed)), bytes(r.kept)) for r in got), key=repr) == removed_brute(docs)
 
 
+def test_parts_are_even():
+    """Least hashes lie close to zero; parts and tasks get as much of them as others all the same."""
+    data = np.random.default_rng(6).integers(97, 123, 1_000_000, dtype=np.uint8)
+    anchors = suffix_dedup.Anchors(data, np.array([len(data)]))
+    sizes = np.bincount(suffix_dedup._part(anchors.hash, 20), minlength=20)
+    assert sizes.max() < 1.1 * sizes.mean() and sizes.min() > 0.9 * sizes.mean()
+    assert [suffix_dedup._parts(n, 600) for n in (0, 10**10, 10**11)] == [600, 1200, 7800]
+
+
 # ---- 9
 
 
