@@ -433,6 +433,23 @@ def test_topics_by_shape(spark, empty):
     assert [topics.words(np.frombuffer(t.encode(), np.uint8)) for t in ("", " ", "a", " a b\n", "é\x0bü")] == [0, 0, 1, 2, 2]
 
 
+def test_topics_are_fitted_to_all_texts(spark):
+    """Centres are the means of all texts that are nearest to them, however many there are, and no order of rows changes them."""
+    rng = random.Random(8)
+    rows = [("".join(rng.choice("ab 1.") for _ in range(rng.randrange(1, 40))) + "|;#"[i % 3] * rng.randrange(30),) for i in range(7000)] + [(None,), ("",)]
+    docs = spark.createDataFrame(rows, "text string")
+    model = topics.fit(docs, 3)
+    x = np.stack([topics.profile(np.frombuffer(t.encode(), np.uint8)) for (t,) in rows if t])
+    near = model.nearest(x)
+    sizes = np.bincount(near, minlength=3)
+    assert sizes.min() > 100 and sizes.tolist() == sorted(sizes, reverse=True)
+    assert max(np.abs(x[near == i].mean(axis=0) - model.centres[i]).max() for i in range(3)) < 2e-3
+    again = topics.fit(docs.orderBy(F.xxhash64("text")).repartition(3), 3)
+    assert (again.centres == model.centres).all()
+    copies = spark.createDataFrame([("a",)] * 4000 + [("1",)] * 4000 + [("  |",), ("  #",)], "text string")
+    assert len(topics.fit(copies, 4).centres) == 4  # though most are copies of two texts
+
+
 # ---- 6
 
 
