@@ -23,8 +23,12 @@ from .work import lean, slices
 
 WINDOW, PAD = 256, 256
 DIM, WIDTHS, FILTERS = 4, (2, 3, 4), 12
-#: The bounded sample that the network is fitted to: windows of each language, and of a text, at most.
+#: Windows of each language, and of a text, that the first steps of training take, at most; all windows follow.
 WINDOWS_PER_LANG, WINDOWS_PER_TEXT = 1500, 4
+#: Windows that a task of the pass over all texts shuffles at once.
+SHUFFLED = 4096
+#: A pair of bytes is seen if it is one of so many pairs of a language at least.
+PAIRS = WINDOWS_PER_LANG * (WINDOW - 1)
 STEPS, BATCH, RATE, SEED = 900, 64, 0.01, 11
 UNKNOWN = "und"
 #: What letters are among; numbers such as ² are too, so ``has_letter`` looks at each.
@@ -38,11 +42,12 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class ByteNet:
-    """The network: an embedding, (weights, bias) for each width, and the softmax layer; and the pairs of bytes that it was trained on."""
+    """The network: an embedding, (weights, bias) for each width, and the softmax layer; the pairs of bytes and the number of windows that it was trained on."""
 
     langs: list[str]
     params: dict[str, np.ndarray] = field(default_factory=dict)
     seen: np.ndarray = field(default_factory=lambda: np.ones(1 << 16, bool))
+    windows: int = 0  # of the pass over all texts
 
     @classmethod
     def new(cls, langs: list[str], rng: np.random.Generator) -> ByteNet:
@@ -72,7 +77,8 @@ class ByteNet:
             out[at : at + BATCH] = softmax(self.features(windows[at : at + BATCH]) @ self.params["o"] + self.params["c"])
         return out
 
-    def gradients(self, windows: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, windows: np.ndarray, labels: np.ndarray, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the mean loss, or of windows weighted by ``weight``."""
         p, n = self.params, len(windows)
         x = p["e"][windows]
         kept, feats = {}, []
@@ -86,6 +92,8 @@ class ByteNet:
         d = softmax(f @ p["o"] + p["c"])
         d[np.arange(n), labels] -= 1
         d /= n
+        if weight is not None:
+            d *= weight[:, None]
         g = {"o": f.T @ d, "c": d.sum(axis=0), "e": np.zeros_like(p["e"])}
         df = d @ p["o"].T
         for i, w in enumerate(WIDTHS):
@@ -106,19 +114,29 @@ class ByteNet:
         inside = b != PAD
         self.seen = np.zeros(1 << 16, bool)
         self.seen[a[inside].astype(np.int64) * 256 + b[inside]] = True
-        m = {k: np.zeros_like(v) for k, v in self.params.items()}
-        v = {k: np.zeros_like(x) for k, x in self.params.items()}
+        adam = _Adam(self)
         weight = 1 / np.bincount(labels, minlength=len(self.langs))[labels]
         for t in range(1, STEPS + 1):
             i = rng.choice(len(windows), BATCH, p=weight / weight.sum())
-            for k, g in self.gradients(windows[i], labels[i]).items():
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.001 * (g * g - v[k])
-                step = RATE * (1 - 0.9 * t / STEPS)
-                self.params[k] -= (step * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+            adam.step(self.gradients(windows[i], labels[i]), RATE * (1 - 0.9 * t / STEPS))
         return self
 
 
+class _Adam:
+    """Adam's steps on a network."""
+
+    def __init__(self, net: ByteNet):
+        self.params, self.t = net.params, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in net.params.items()} for _ in range(2))
+
+    def step(self, gradients: dict[str, np.ndarray], rate: float) -> None:
+        self.t += 1
+        for k, g in gradients.items():
+            self.m[k] += 0.1 * (g - self.m[k])
+            self.v[k] += 0.001 * (g * g - self.v[k])
+            self.params[k] -= (rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
+
+
 def least_score(langs: int) -> float:
     """The score from which a text counts as one of so many languages: a guess among them, and a tenth more."""
     return 1 / max(1, langs) + 0.1
@@ -143,10 +161,11 @@ def held_out(id_: Column) -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet:
-    """A network fitted to at most ``WINDOWS_PER_LANG`` windows of each language.
+    """A network fitted to all windows of all texts with an id and a label that are not held out.
 
-    Only rows with an id, a label and a text that are not held out are looked at. Which rows and which place
-    in a text is decided by hashes, so the same table gives the same network.
+    Its first steps take at most ``WINDOWS_PER_LANG`` windows of each language, chosen by hashes. From there each task takes steps
+    on all windows of its texts, and the network is the mean of the tasks', by their windows; languages weigh the same. So a table read in
+    the same tasks gives the same network. The pairs of bytes are counted in all these texts.
     """
     text = F.col(text_col).cast("binary")
     draw = F.pmod(F.xxhash64(id_col, F.lit(SEED)), F.lit(1 << 30))
@@ -170,7 +189,62 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 part = part[: int(rng.integers(12, WINDOW))]
             windows.append(cut_windows(part)[0])
             labels.append(langs.index(r["lang"]))
-    return net.fit(np.stack(windows), np.array(labels), rng) if windows else net
+    return _fit_all(net.fit(np.stack(windows), np.array(labels), rng), rows.select(lang_col, text_col), counts) if windows else net
+
+
+def _fit_all(net: ByteNet, rows: DataFrame, counts: dict[str, int]) -> ByteNet:
+    """``net`` after one pass over all windows of ``rows`` (language, text), and the pairs of bytes that these hold."""
+    names, n_langs = sorted(net.params), len(net.langs)
+    number = {name: i for i, name in enumerate(net.langs)}
+    even = np.array([sum(counts.values()) / (n_langs * counts[name]) for name in net.langs], np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, rng = ByteNet(net.langs, {k: p.copy() for k, p in net.params.items()}), np.random.default_rng(SEED)
+        adam, pairs = _Adam(mine), np.zeros(n_langs << 16, np.int64)
+        windows, labels, held, total = [], [], 0, 0
+
+        def steps() -> None:
+            w, y = np.concatenate(windows), np.concatenate(labels)
+            short = w[::4].copy()  # some short ones more, as short texts have
+            short[np.arange(WINDOW) >= rng.integers(12, WINDOW, len(short))[:, None]] = PAD
+            w, y = np.concatenate([w, short]), np.concatenate([y, y[::4]])
+            order = rng.permutation(len(w))
+            for at in range(0, len(w), BATCH):
+                i = order[at : at + BATCH]
+                adam.step(mine.gradients(w[i], y[i], even[y[i]]), RATE / 10)
+
+        for batch in slices(batches, 64):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = text.encode()
+                for a in range(0, len(data), WINDOW * 1024):  # very long texts in blocks
+                    cut = cut_windows(data[a : a + WINDOW * 1024])
+                    windows.append(cut)
+                    labels.append(np.full(len(cut), number[lang]))
+                    raw = np.frombuffer(data[a : a + WINDOW * 1024 + 1], np.uint8).astype(np.int64)
+                    np.add.at(pairs, (number[lang] << 16) + raw[:-1] * 256 + raw[1:], 1)
+                    held, total = held + len(cut), total + len(cut)
+                    if held >= SHUFFLED:
+                        steps()
+                        windows, labels, held = [], [], 0
+        if held:
+            steps()
+        at = np.flatnonzero(pairs)
+        cells = (total, b"".join(mine.params[k].tobytes() for k in names), at.tobytes(), pairs[at].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], ["n", "params", "at", "times"])
+
+    got = rows.mapInArrow(lean(run), "n long, params binary, at binary, times binary").collect()
+    net.windows = sum(r["n"] for r in got)
+    if not net.windows:
+        return net
+    mean = sum(np.frombuffer(r["params"], np.float32).astype(np.float64) * r["n"] for r in got) / net.windows
+    edges = np.cumsum([net.params[k].size for k in names])[:-1]
+    net.params = {k: p.reshape(net.params[k].shape).astype(np.float32) for k, p in zip(names, np.split(mean, edges))}
+    pairs = np.zeros(n_langs << 16, np.int64)
+    for r in got:
+        pairs[np.frombuffer(r["at"], np.int64)] += np.frombuffer(r["times"], np.int64)
+    pairs = pairs.reshape(n_langs, 1 << 16)
+    net.seen = ((pairs > 0) & (pairs * PAIRS >= pairs.sum(axis=1, keepdims=True))).any(axis=0)
+    return net
 
 
 def predict(docs: DataFrame, net: ByteNet, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:

@@ -720,6 +720,25 @@ def test_language_of_hard_documents(spark, hard, empty):
     assert {r.lang_pred for r in langid.predict(hard, langid.train(empty)).collect()} == {"und"}
 
 
+def test_network_is_fitted_to_all_texts(spark):
+    """Each window of each labelled text that is not held out is trained on, and each pair of bytes counts."""
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choice("abcd " if i % 2 else "wxyz ") for _ in range(rng.randrange(200, 800))) + chr(0x4E00 + i), "pq"[i % 2]) for i in range(3000)]
+    docs = spark.createDataFrame(rows + [(9000, "Ω", None), (9001, None, "p"), (9002, "", "q")], "doc_id long, text string, lang string")
+    net = langid.train(docs)
+    texts = [t.encode() for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert net.windows == sum(-(-len(t) // langid.WINDOW) for t in texts)
+    times = defaultdict(int)
+    for i, t, lang in rows:
+        t = t.encode() if zlib.crc32(str(i).encode()) % 4 != 2 else b""
+        for pair in zip(t, t[1:]):
+            times[lang, pair] += 1
+    total = {x: sum(n for (y, _), n in times.items() if x == y) for x in "pq"}
+    assert set(np.flatnonzero(net.seen)) == {a * 256 + b for (x, (a, b)), n in times.items() if n * langid.PAIRS >= total[x]}
+    right = sum(r.lang_pred == r.lang for r in langid.predict(docs.where("length(text) > 2"), net).collect())
+    assert right >= 2990
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(0)
     net = langid.ByteNet.new(["a", "b"], rng)
