@@ -20,7 +20,8 @@ def lstrip(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return strip(c) == ""
+    """Whether nothing is left by ``strip``. Looks no further than the first character that is left."""
+    return ~c.rlike(f"(?U)[^{SPACE[1:]}")
 
 
 def is_digits(stripped: Column) -> Column:
